@@ -7,10 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusforge.llm import bpe_tree, token_counts
+from corpusforge.llm import bpe_tree, gif_media, token_counts, toxicity
 from corpusforge.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.payload_media(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -20,6 +29,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_gif_media": op3_gif_media,
     "op5_token_counts": op5_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
 }

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -111,7 +112,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = 5
 
     def work(texts: list[str]) -> dict[str, list]:
         counts = _counter(path, shared).count(texts)
-        sizes = pa.compute.binary_length(pa.array(texts, pa.string()))
+        sizes = pc.binary_length(pa.array(texts, pa.string()))
         return {"n_bytes": sizes.cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "over_limit": pa.array([n > limit for n in counts], pa.bool_())}
 
     return map_texts(docs, id_col, text_col, work, "n_bytes long, n_tokens long, over_limit boolean")
