@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusforge.llm import bpe_tree, gif_media, token_counts, toxicity
+from corpusforge.llm import bpe_tree, decontaminate, gif_media, secret_scan, token_counts, toxicity
 from corpusforge.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.payload_media(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -28,11 +32,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_gif_media": op3_gif_media,
+    "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
