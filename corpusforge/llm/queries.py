@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusforge.llm import bpe_tree, decontaminate, gif_media, secret_scan, token_counts, toxicity
+from corpusforge.llm import bpe_tree, decontaminate, gif_media, langid, quality, secret_scan, token_counts, toxicity
 from corpusforge.llm.common import table
 
 
@@ -36,6 +36,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), langid.learn(table(spark, sf_dir, "documents")))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_gif_media": op3_gif_media,
@@ -43,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
+    "op9_langid": op9_langid,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
