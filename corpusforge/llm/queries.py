@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe_tree, decontaminate, gif_media, langid, quality, secret_scan, token_counts, toxicity
+from corpusforge.llm import bpe_tree, decontaminate, gif_media, langid, line_dedup, quality, secret_scan, token_counts, toxicity
 from corpusforge.llm.common import table
 
 
@@ -16,6 +17,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    kept = line_dedup.dedup_lines(docs.select("doc_id", "text", lines.alias("n_lines")))
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("lines_gone").cast("long").alias("n_gone"), F.col("lines_near").cast("long").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.payload_media(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_gif_media": op3_gif_media,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
