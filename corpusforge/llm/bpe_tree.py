@@ -21,7 +21,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from corpusforge.llm.common import map_texts
 
@@ -175,6 +175,6 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     return map_texts(docs, id_col, text_col, work, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids)
 
 
-def encode_table(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``bpe_round_trip`` with the ids kept, for writing a tokenised table."""
     return bpe_round_trip(docs, path, pattern, keep_ids=True)

@@ -1,0 +1,30 @@
+"""Connected components of an edge table, by jobs whose state is in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusforge.llm.common import shared_folder
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and label (its component's least node) of every node of the edges (a, b), two longs.
+
+    Every node takes its neighbours' least label and then that label's own label, until nothing changes; the
+    second step doubles the reach of each round. No edges give no rows; loops and repeated edges do no harm.
+    """
+    shared_folder(edges.sparkSession)
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct().checkpoint()
+    labels = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")).checkpoint()
+    while True:
+        seen = labels.select(F.col("node").alias("other"), F.col("label").alias("l"))
+        least = both.join(seen, "other").groupBy("node").agg(F.min("l").alias("l"))
+        nearer = labels.join(least, "node").select("node", F.least("label", "l").alias("label"), F.col("label").alias("was")).checkpoint()
+        jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        after = nearer.join(jump, "label").select("node", F.col("further").alias("label"), "was").checkpoint()
+        changed = after.where("label <> was").limit(1).count()
+        labels = after.select("node", "label")
+        if not changed:
+            return labels

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe_tree, decontaminate, gif_media, langid, line_dedup, quality, secret_scan, token_counts, toxicity
+from corpusforge.llm import bpe_tree, dart_minhash, decontaminate, gif_media, langid, line_dedup, quality, secret_scan, token_counts, toxicity
 from corpusforge.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "keeps")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_gif_media": op3_gif_media,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
+    "op6_dart_minhash": op6_dart_minhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
     "op9_langid": op9_langid,

@@ -244,3 +244,17 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     scored = map_texts(docs, id_col, text_col, work, "score double, hits int")
     return scored.select(F.col(f"`{id_col}`"), held_out(F.col(f"`{id_col}`")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all their columns; null and empty texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.dumps(), model))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value[1])
+        for batch in batches:
+            for part, texts in by_chunks(batch, at):
+                yield part.filter(pa.array([not t or matcher.score(t)[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
