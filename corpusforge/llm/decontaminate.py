@@ -78,7 +78,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, n
     place = lowered(F.array_join(F.slice("w", F.greatest(at, F.lit(0)) + 1, F.col("n")), " "))
     looked_up = posted.join(small(anchors), (F.col("posting") == F.col("key")) & (F.col("pos") >= F.col("offset")), "left")
     placed = looked_up.where("word is null or key is not null").withColumn("here", F.when(F.col("key").isNotNull(), place))
-    same = F.size(F.filter(F.zip_with(F.split("here", " ", -1), F.split("window", " ", -1), lambda a, b: a.eqNullSafe(b)), lambda x: x))
+    # No higher-order function here: it would end the generated code, and each word's row would be copied with its whole text.
+    own, asked = F.split("here", " ", -1), F.split("window", " ", -1)
+    same = sum((F.get(own, F.lit(i)).eqNullSafe(F.get(asked, F.lit(i))).cast("int") for i in range(size)), F.lit(0))
     judged = placed.select(
         "id",
         "text_hash",
