@@ -26,3 +26,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register() -> None:
+    """Imports the modules that hold the queries."""
+    from corpusforge.plans import q_docs, q_graph, q_style, q_tables, q_text, q_verse  # noqa: F401
