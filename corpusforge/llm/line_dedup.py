@@ -8,7 +8,7 @@ Near lines meet through hashed keys. Leaving word i out of a line leaves a remai
 remainder's hash with i, and the whole line's hash with every place where a word could be put in. All lines
 under one key differ in the word at that one place alone, so each of them is near the earliest of them, and the
 earliest is all that a group's map-side minimum carries: no pairs are made within a group. What a key joins is
-then verified by the words themselves.
+then verified by the words themselves. Big sides of joins first pass a broadcast bit set of fixed size.
 
 Two lines within the bound share their first or their last half, so only lines that share a half with another
 line emit keys at all. Remainders' hashes come from running sums (xor) of position-tagged word hashes: linear in
@@ -20,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import only, shared_folder
+from corpusforge.llm.bit_filter import bits_of, maybe_in, with_maybe
+from corpusforge.llm.common import only
+from corpusforge.session import shared_folder
 
 #: Words of a line that is compared at all; of one that is also compared within one word edit.
 LEAST_WORDS, FUZZY_WORDS = 5, 10
@@ -31,21 +33,24 @@ def _line_words(line: Column) -> Column:
 
 
 def _halves(w: Column, n: Column) -> Column:
-    """Hashes of a line's first and last half, as long as a line of n words, and of n - 1, compares them."""
+    """Hashes of a line's beginning and end, as long as a line of n words, and of n - 1, compares them.
+
+    They are somewhat shorter than half, in steps of four words, so that n and n - 1 mostly give the same.
+    """
 
     def of(length: Column) -> list[Column]:
-        half = F.floor((length - 1) / 2).cast("int")
-        return [F.xxhash64(F.slice(w, F.lit(1), half), length, F.lit(0)), F.xxhash64(F.slice(w, n - half + 1, half), length, F.lit(1))]
+        half = (F.floor((length - 1) / 8) * 4).cast("int")
+        return [F.xxhash64(F.slice(w, F.lit(1), half), half, F.lit(0)), F.xxhash64(F.slice(w, n - half + 1, half), half, F.lit(1))]
 
-    return F.array(*of(n), *of(n - 1))
+    return F.array_distinct(F.array(*of(n), *of(n - 1)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """id, text_hash, line_no, w, n, h1, h2 of every line of ``least`` words or more."""
     rows = only(docs, id_col, text_col).toDF("id", "text").where("text is not null")
     lines = rows.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    cut = lines.select("id", "text_hash", "line_no", _line_words(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= least)
-    return cut.withColumns({"h1": F.xxhash64("w"), "h2": F.xxhash64("w", F.lit(7))})
+    hashed = lines.select("id", "text_hash", "line_no", _line_words(F.col("line")).alias("w"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"))
+    return hashed.withColumn("n", F.size("w")).where(F.col("n") >= least)
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -68,19 +73,18 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, fuzzy: int = FUZZY
     seen = lines.select("id", "text_hash", "line_no", "h1", "h2", halves.alias("halves")).checkpoint()  # hashes of lines, without text
 
     same = ["h1", "h2"]
-    firsts = seen.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("n_lines"), F.any_value("halves").alias("halves"))
-    firsts = firsts.checkpoint()
+    copies = seen.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("n_lines")).where("n_lines > 1").select(*same, "first")
 
-    # Lines that share a half with another line.
-    halved = firsts.where("halves is not null").select(*same, F.explode("halves").alias("half"))
+    # Lines that share a half with another line. Bit sets leave the others out before each join.
+    halved = seen.where("halves is not null").select(*same, F.explode("halves").alias("half"))
     shared = halved.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half").checkpoint()
-    hinted = halved.join(shared, "half").select(*same).distinct()
-    wanted = firsts.join(hinted, same).select(*same, "first")
-    wanted = wanted.select(*same, "first", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), F.col("first.line_no").alias("line_no"))
+    hinted = maybe_in(halved, bits_of(shared, "half"), "half").join(shared, "half").select(*same).distinct()
+    wanted = maybe_in(seen, bits_of(hinted, "h1"), "h1").join(hinted, same).groupBy(*same).agg(F.min(place).alias("first"))
+    asked = wanted.groupBy(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), *same)).alias("asked"))
 
     # Their words, by way of the documents that have them first.
-    asked = wanted.groupBy("id", "text_hash").agg(F.collect_list(F.struct("line_no", *same)).alias("asked"))
     texts = only(docs, id_col, text_col).toDF("d_id", "text").where("text is not null").withColumn("d_hash", F.xxhash64("text"))
+    texts = maybe_in(texts, bits_of(asked, "text_hash"), "d_hash")
     held = texts.join(asked, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_hash") == F.col("text_hash")))
     cut = held.select("id", "text_hash", F.split("text", "\n", -1).alias("l"), F.explode("asked").alias("x"))
     candidates = cut.select(F.struct("id", "text_hash", F.col("x.line_no").alias("line_no")).alias("first"), F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), _line_words(F.element_at("l", F.col("x.line_no") + 1)).alias("w"))
@@ -99,16 +103,17 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, fuzzy: int = FUZZY
     without, into, at_end = F.xxhash64("rest", "at", F.col("n") - 1), F.xxhash64("all", "at", "n"), F.xxhash64("all", "n", "n")
     keys = F.when(F.col("at") == F.col("n") - 1, F.array(without, into, at_end)).otherwise(F.array(without, into))
     emitted = summed.select("ord", F.explode(keys).alias("key"))
-    groups = emitted.groupBy("key").agg(F.min("ord").alias("lead"), F.max("ord").alias("last")).where("lead < last").select("key", "lead").checkpoint()
+    groups = emitted.groupBy("key").agg(F.min("ord").alias("lead"), F.max("ord").alias("last")).where("lead < last").select("key", "lead")
     pairs = emitted.join(groups, "key").where("lead < ord").select("ord", "lead").distinct()
 
     # Verified by their words.
     earlier = candidates.select(F.col("ord").alias("lead"), F.col("w").alias("w_earlier"))
     near = pairs.join(candidates.select("ord", *same, "w"), "ord").join(earlier, "lead").where(_within_one(F.col("w"), F.col("w_earlier"))).select(*same).distinct()
 
-    doomed = firsts.select(*same, "first", "n_lines").join(near.withColumn("near", F.lit(True)), same, "left").where("n_lines > 1 or near").select(*same, "first", F.coalesce("near", F.lit(False)).alias("near")).checkpoint()
-    gone = seen.select("id", "text_hash", "line_no", *same).join(doomed, same).where(F.col("near") | (place != F.col("first")))
-    return gone.select("id", "text_hash", "line_no", "near").distinct()
+    gone_near = near.withColumn("near", F.lit(True))
+    doomed = copies.join(gone_near, same, "full_outer").select(*same, "first", F.coalesce("near", F.lit(False)).alias("near")).checkpoint()
+    gone = maybe_in(seen.select("id", "text_hash", "line_no", *same), bits_of(doomed, "h1"), "h1").join(doomed, same)
+    return gone.where(F.col("near") | (place != F.col("first"))).select("id", "text_hash", "line_no", "near").distinct()
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, fuzzy: int = FUZZY_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,11 +125,17 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, fuzzy: int = FUZZY_WO
     keep the same lines; null ids come first in the order. Documents that share an id are told apart by their texts.
     """
     gone = repeated_lines(docs, least, fuzzy, id_col, text_col)
-    lists = gone.groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("_gone"), F.count_if("near").alias("_near")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone", "_near")
+    lists = gone.groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("_gone"), F.count_if("near").alias("_near")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone", "_near").checkpoint()
     text = F.col(f"`{text_col}`")
-    joined = docs.join(lists, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    cut = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    # Documents that surely lose nothing aren't shuffled.
+    told = with_maybe(docs, bits_of(lists, "_hash"), "_loses", F.xxhash64(text))
+    losing = told.where("_loses").join(lists, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    nothing = {"_id": lists.schema["_id"].dataType, "_hash": "long", "_gone": lists.schema["_gone"].dataType, "_near": "long"}
+    whole = told.where("not _loses").select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()])
+    joined = losing.unionByName(whole)
+    # The array of one binds the lines to a name, so they are cut once; array_except is linear in them.
+    kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i)))
+    cut = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept[0], "\n"))
     new = {text_col: cut, "lines_gone": F.coalesce(F.size("_gone"), F.lit(0)), "lines_near": F.coalesce(F.col("_near").cast("int"), F.lit(0))}
     rest = [F.col(f"`{c}`") if c != text_col else cut.alias(text_col) for c in docs.columns if c not in ("lines_gone", "lines_near")]
     return joined.select(*rest, new["lines_gone"].alias("lines_gone"), new["lines_near"].alias("lines_near"))
