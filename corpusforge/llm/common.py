@@ -27,14 +27,6 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's folder if it names one, else a local one (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpusforge-checkpoints")
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the fold that models never learn from: crc32 of the id's decimal text divisible by 5."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

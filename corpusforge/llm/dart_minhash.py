@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import by_chunks, only, shared_folder, text_or_empty
-from corpusforge.llm.graph import components
+from corpusforge.llm.common import by_chunks, only, text_or_empty
+from corpusforge.operators.graph import components
+from corpusforge.session import shared_folder
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Coordinates of a signature, and rows of a band. A pair at the threshold shares a band but for 6 in 100,000.
@@ -32,9 +33,9 @@ COORDINATES, BAND_ROWS = 192, 6
 #: Standard deviations of a signature's agreement beyond which it decides by itself.
 SURE = 4.0
 #: Darts for each coordinate beyond ln t, and documents that throw together.
-EXTRA, TOGETHER = 3.0, 512
+EXTRA, TOGETHER = 3.0, 128
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 _WORD = re.compile(r"\w+")
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import by_chunks, only, shared_folder
+from corpusforge.llm.common import by_chunks, only
+from corpusforge.session import shared_folder
 
 #: Buckets of hashed trigrams, pseudo-count of each, weight of one trigram's evidence, and its bound in all.
 BUCKETS, PSEUDO, TEMPER, MOST_TRIGRAMS = 1 << 16, 0.1, 0.2, 40.0
