@@ -109,7 +109,7 @@ def test_gif_frames_palettes_disposal_transparency(spark):
     assert [(r["frame"], r["start_cs"], r["delay_cs"]) for r in got.where("id = 1").orderBy("frame").collect()] == [(0, 0, 5), (1, 5, 7), (2, 12, 9), (3, 21, 1)]
     assert {r["id"]: r["frame"] for r in got.where("id > 1").collect()} == {2: -1, 3: -1, 4: -1}
     interlaced = gif_media.write_gif([gif_media.Frame(0, 0, np.arange(10, dtype=np.uint8)[:, None], gif_media.GREYS)], 1, 10)
-    at = interlaced.index(b"\x2c") + 9
+    at = interlaced.index(b"\x2c", 13 + 768) + 9
     laid = gif_media.read_gif(interlaced[:at] + b"\x40" + interlaced[at + 1 :])[2][0].samples[:, 0].tolist()
     assert [laid[i] for i in (0, 8, 4, 2, 6, 1, 3, 5, 7, 9)] == list(range(10))
 
@@ -193,7 +193,7 @@ def test_contamination_equals_brute_force(spark, monkeypatch, broadcast):
 def test_decontaminated_keeps_clean_rows_and_columns(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     near = passage.replace("five", "5five")
-    d = spark.createDataFrame([(1, f"x {passage} y", "k"), (2, "clean", "k"), (None, "null id", "k"), (3, near, "k")], "doc_id long, text string, pos string")
+    d = spark.createDataFrame([(1, f"x {passage} y", "k"), (2, "clean five five", "k"), (None, "null id", "k"), (3, near, "k")], "doc_id long, text string, pos string")
     items = spark.createDataFrame([(0, passage)], "item_id long, text string")
     assert [r["doc_id"] for r in decontaminate.decontaminated(d, items).orderBy("doc_id").collect()] == [None, 2, 3]
     assert decontaminate.contamination(d, items.limit(0)).where("contaminated").count() == 0
