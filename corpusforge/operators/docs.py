@@ -275,3 +275,15 @@ def verdict(value: Column, yes: float, part: float) -> Column:
 
 def ratio_verdict(ratio: Column, more: float = 1.15, less: float = 0.9) -> Column:
     return F.when(ratio >= more, "more").when(ratio <= less, "less").otherwise("even")
+
+
+def between_commas(text: X.Text, word: str) -> Column:
+    """How often a word stands alone between commas, where it is a particle and no noun."""
+    return F.regexp_count(F.lower(X._c(text)), F.lit(rf",\s*{word}\s*(?=,)"))
+
+
+def trimmed(paragraph: X.Text, hit: str, around: int = 2, limit: int = 1500) -> Column:
+    """A paragraph longer than ``limit`` cut to the sentences within ``around`` of the first that holds ``hit``."""
+    p = X._c(paragraph)
+    cut = F.transform(F.array(X.sentences(p)), lambda s: F.transform(F.array(F.array_position(F.transform(s, lambda x: F.contains(x, F.lit(hit))), F.lit(True))), lambda at: F.array_join(F.slice(s, F.greatest(at - around, F.lit(1)).cast("int"), (F.least(at + around, F.size(s)) - F.greatest(at - around, F.lit(1)) + 1).cast("int")), " ")))
+    return F.when((F.length(p) > limit) & F.contains(p, F.lit(hit)), cut[0][0]).otherwise(p)

@@ -331,3 +331,36 @@ def interpolated(points: DataFrame, part: list[str], key: str, value: str, at: C
     inside = nxt.where((F.col(key) <= at) & ((at < F.col("k2")) | F.col("k2").isNull()))
     t = F.coalesce((at - F.col(key)) / (F.col("k2") - F.col(key)), F.lit(0.0))
     return inside.select(*part, (F.col(value) + (F.coalesce("v2", value) - F.col(value)) * (3 * t * t - 2 * t * t * t)).alias("at_value"))
+
+
+def examples(rows: DataFrame, group: list[str], order: list, cap: int) -> DataFrame:
+    """The first ``cap`` rows of each group."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= cap).drop("_r")
+
+
+def unique_pairs(rows: DataFrame, a: str, b: str, lists: str, priority: str, k: int, seed: int = 7) -> DataFrame:
+    """A sample of ``k`` different unordered pairs for each list, in an order that depends on the seed alone; a pair
+    that several lists hold goes to the one of least priority."""
+    pair = F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
+    once = rows.groupBy(pair.alias("_pair")).agg(F.min(F.struct(priority, lists, a, b)).alias("_m"))
+    flat = once.select(*[F.col(f"_m.{c}").alias(c) for c in (priority, lists, a, b)])
+    return examples(flat, [lists], [F.xxhash64(F.lit(seed), a, b), a, b], k)
+
+
+def theme_comparison(rows: DataFrame, theme: Column, key: str, value: str) -> DataFrame:
+    """One row: median and mean of a value in the theme, and of the other rows with a key (year) that the theme has."""
+    marked = rows.withColumn("_t", theme)
+    keys = marked.where("_t").select(key).distinct()
+    near = marked.join(keys, key, "left_semi")
+    return near.agg(F.median(F.when(F.col("_t"), F.col(value))).alias("theme_median"), F.avg(F.when(F.col("_t"), F.col(value))).alias("theme_mean"), F.median(F.when(~F.col("_t"), F.col(value))).alias("rest_median"), F.avg(F.when(~F.col("_t"), F.col(value))).alias("rest_mean"))
+
+
+def essay_stats(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, sentences, median and p90 of their words, dashes and parentheses per 1000 words."""
+    from corpusforge.operators.tokens import sentence_table
+
+    s = sentence_table(docs, keys, text_col).groupBy(*keys).agg(F.count("*").alias("sentences"), F.median("n_words").alias("median"), F.percentile("n_words", F.lit(0.9)).alias("p90"))
+    norm = X.normalised_punctuation(text_col)
+    words = F.size(X.tokens(text_col))
+    marks = docs.select(*keys, X.per(F.regexp_count(norm, F.lit("—")), words, 1000).alias("dashes"), X.per(F.regexp_count(norm, F.lit(r"\(")), words, 1000).alias("parentheses"))
+    return s.join(marks, keys)

@@ -206,3 +206,25 @@ def claim_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     a = documents(spark, sf).groupBy("source").agg(F.avg(F.size(X.tokens("text"))).alias("words"), F.avg("n_chars").alias("chars"))
     j = a.crossJoin(F.broadcast(a.agg(F.avg("words").alias("w")))).withColumn("ratio", F.col("words") / F.col("w"))  # one row
     return rounded(j.select("source", "ratio", D.ratio_verdict(F.col("ratio")).alias("length_verdict"), D.verdict(F.col("chars"), 2600, 2300).alias("long_texts")), "ratio")
+
+
+@query("theme_comparison", """WITH d AS (SELECT doc_id % 7 AS y, contains(text, 'thing') AS t, n_chars FROM documents WHERE lang = 'en') SELECT median(n_chars) FILTER (WHERE t) AS theme_median, round(avg(n_chars) FILTER (WHERE t), 6) AS theme_mean, median(n_chars) FILTER (WHERE NOT t) AS rest_median, round(avg(n_chars) FILTER (WHERE NOT t), 6) AS rest_mean FROM d WHERE y IN (SELECT y FROM d WHERE t)""")
+def theme_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    from corpusforge.operators.stats import theme_comparison as compare
+
+    d = documents(spark, sf).where("lang = 'en'").withColumn("y", F.col("doc_id") % 7)
+    return rounded(compare(d, F.contains("text", F.lit("thing")), "y", "n_chars"), "theme_mean", "rest_mean")
+
+
+@query("essay_stats", r"""WITH s0 AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+([«"(—\p{Lu}0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM documents), s AS (SELECT doc_id, len(regexp_extract_all(s, '\p{L}+(?:-\p{L}+)*')) AS w FROM s0),
+a AS (SELECT doc_id, count(*) AS sentences, median(w) AS median, round(quantile_cont(w, 0.9), 6) AS p90 FROM s WHERE w > 0 GROUP BY doc_id), n AS (SELECT doc_id, replace(replace(replace(text, '--', '—'), ' - ', ' — '), '…', '...') AS t, len(regexp_extract_all(text, '\p{L}+(?:-\p{L}+)*')) AS words FROM documents)
+SELECT doc_id, sentences, median, p90, round(len(regexp_extract_all(t, '—')) * 1000.0 / words, 6) AS dashes, round(len(regexp_extract_all(t, '\(')) * 1000.0 / words, 6) AS parentheses FROM a JOIN n USING (doc_id)""")
+def essay_stats(spark: SparkSession, sf: str) -> DataFrame:
+    from corpusforge.operators.stats import essay_stats as stats
+
+    return rounded(stats(documents(spark, sf), ["doc_id"]), "p90", "dashes", "parentheses")
+
+
+@query("particle_commas", r"SELECT doc_id, len(regexp_extract_all(replace(lower(text), ',', ',,'), ',\s*the\s*,')) AS n FROM documents")
+def particle_commas(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select("doc_id", D.between_commas("text", "the").alias("n"))

@@ -47,6 +47,24 @@ def rhyme_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.rhyme_partners(d, word[0] if word else "").select("word", "total", F.col("n_partners").cast("long").alias("n_partners"))
 
 
+@query("rhyme_examples", f"""WITH {RHYME}, p AS (SELECT a.doc_id, a.line_no, a.suffix, a.last AS word_i, b.last AS word_j FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.suffix = b.suffix AND a.last <> b.last AND b.line_no - a.line_no BETWEEN 1 AND 4), u AS (SELECT suffix, least(word_i, word_j) AS a, greatest(word_i, word_j) AS b, count(*) AS n FROM p GROUP BY ALL),
+ex AS (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY n DESC, a, b) AS k FROM u) SELECT suffix, a, b, n FROM ex WHERE k <= 3""")
+def rhyme_examples(spark: SparkSession, sf: str) -> DataFrame:
+    from corpusforge.operators.stats import examples
+
+    u = suffix_pairs(spark, sf).select(F.right("word_i", F.lit(3)).alias("suffix"), F.least("word_i", "word_j").alias("a"), F.greatest("word_i", "word_j").alias("b")).groupBy("suffix", "a", "b").agg(F.count("*").alias("n"))
+    return examples(u, ["suffix"], [F.desc("n"), "a", "b"], 3)
+
+
+@query("unique_rhyme_sample")
+def unique_rhyme_sample(spark: SparkSession, sf: str) -> DataFrame:
+    from corpusforge.operators.stats import unique_pairs
+
+    p = suffix_pairs(spark, sf)
+    lists = p.withColumns({"list": F.when(F.length("word_i") >= 10, "long").otherwise("short"), "priority": F.when(F.length("word_i") >= 10, 0).otherwise(1)})
+    return unique_pairs(lists, "word_i", "word_j", "list", "priority", 20)
+
+
 ALLIT = f"""{LIN}, a0 AS (SELECT doc_id, line_no, line, list_filter(list_distinct(regexp_extract_all(lower(line), '\\p{{L}}+')), lambda w: length(w) >= 3 AND w NOT IN ('the', 'that') AND NOT regexp_matches(substr(w, 1, 1), '[{VOWELS}]')) AS w FROM lin),
 a1 AS (SELECT doc_id, line_no, line, list_transform(w, lambda x: substr(x, 1, 1)) AS f FROM a0), a2 AS (SELECT doc_id, line_no, line, coalesce(list_max(list_transform(list_distinct(f), lambda c: len(list_filter(f, lambda x: x = c)))), 0) AS score FROM a1)"""
 

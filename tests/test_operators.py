@@ -319,3 +319,29 @@ def test_lookups(spark):
     c = spark.createDataFrame([("a", 0, "line")], "word string, doc int, line string")
     card = lookup.entity_card(s, e, c, "a").first()
     assert card["neighbours"][0]["name"] == "b" and card["examples"][0]["line"] == "line"
+
+
+def test_trimmed_paragraph(spark):
+    p = "One here. Two here. Three hit. Four here. Five here. Six here."
+    assert one(spark, D.trimmed(F.lit(p), "hit", 1, 20)) == "Two here. Three hit. Four here."
+    assert one(spark, D.trimmed(F.lit(p), "hit", 1, 2000)) == p
+
+
+def test_unique_pairs_share_what_they_have_seen(spark):
+    t = spark.createDataFrame([("a", "b", "long", 0), ("b", "a", "rich", 1), ("c", "d", "rich", 1)], "x string, y string, list string, priority int")
+    assert rows(S.unique_pairs(t, "x", "y", "list", "priority", 5).select("list", "x")) == [("long", "a"), ("rich", "c")]
+
+
+def test_free_images(spark):
+    t = spark.createDataFrame([("A", "CC BY-SA 4.0", "image/jpeg", 1200, "<a>User: Ann</a>"), ("B", "fair use", "image/jpeg", 1200, ""), ("C", "CC0", "image/png", 10, "")], "title string, licence string, mime string, width int, author string")
+    assert [(r["title"], r["author"]) for r in web.free_images(t).collect()] == [("A", "Ann")]
+
+
+def test_new_files_are_processed_once(spark, tmp_path):
+    from corpusforge.streaming.resume import process_new_files
+
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for i in range(2):
+        spark.createDataFrame([(i,)], "x int").write.mode("append").parquet(source)
+        process_new_files(spark, source, spark.createDataFrame([], "x int").schema, lambda df: df.withColumn("y", F.col("x") + 1), out, mark)
+    assert sorted(r["y"] for r in spark.read.parquet(out).collect()) == [1, 2]
