@@ -56,6 +56,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if _SIGN.search(text):
         text = _WITH_SIGNS.sub(lambda m: m[0].translate(_SUBSTITUTE), text)
+    text = text.replace("l", "i")  # one sign for l, i and 1, which stand for each other
     return f" {' '.join(_WORD.findall(text))} "
 
 

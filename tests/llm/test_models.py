@@ -26,6 +26,7 @@ def auc(scored, label):
 
 def test_folding():
     assert toxicity.fold("Ｉd10t, іdіоt!  x2") == " idiot idiot x "
+    assert toxicity.fold("1oser") == toxicity.fold("Loser") == toxicity.fold("l0$er")
     assert toxicity.fold("") == "  " and toxicity.fold("123 $$$") == "  "
 
 
