@@ -287,3 +287,22 @@ def trimmed(paragraph: X.Text, hit: str, around: int = 2, limit: int = 1500) ->
     p = X._c(paragraph)
     cut = F.transform(F.array(X.sentences(p)), lambda s: F.transform(F.array(F.array_position(F.transform(s, lambda x: F.contains(x, F.lit(hit))), F.lit(True))), lambda at: F.array_join(F.slice(s, F.greatest(at - around, F.lit(1)).cast("int"), (F.least(at + around, F.size(s)) - F.greatest(at - around, F.lit(1)) + 1).cast("int")), " ")))
     return F.when((F.length(p) > limit) & F.contains(p, F.lit(hit)), cut[0][0]).otherwise(p)
+
+
+def corpora(annotated: DataFrame) -> dict[str, DataFrame]:
+    """The views that statistics run on: own texts in the main language, their poetry, their prose less titles that
+    begin like a poem's (duplicates of it), and own poetry in the other language. Columns: lang, genre, author, title."""
+    own = annotated.where("author = 'own'")
+    main = own.where("lang = 'ru'")
+    poetry, prose = main.where("genre = 'poetry'"), main.where("genre = 'prose'")
+    heads = poetry.select(F.left("title", F.lit(20)).alias("_h")).where("length(_h) > 0").distinct()
+    prose = prose.withColumn("_t", F.left("title", F.lit(20))).join(heads, F.col("_t") == F.col("_h"), "left_anti").drop("_t")
+    return {"own": main, "poetry": poetry, "prose": prose, "other": own.where("lang <> 'ru' and genre = 'poetry'")}
+
+
+def first_and_last_examples(lines: DataFrame, words: list[str], doc_order: list[str], low: int = 20, high: int = 80) -> DataFrame:
+    """word, first, last: the first and the last line (by ``doc_order``, line_no) with each word, ``low`` to ``high`` long."""
+    asked = F.array(*[F.lit(w) for w in words])
+    held = lines.where(F.length("line").between(low, high)).select(*doc_order, "line_no", "line", F.explode(F.array_intersect(X.lower_tokens("line"), asked)).alias("word"))
+    place = F.struct(*doc_order, "line_no")
+    return held.groupBy("word").agg(F.min_by("line", place).alias("first"), F.max_by("line", place).alias("last"))

@@ -364,3 +364,45 @@ def essay_stats(docs: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     words = F.size(X.tokens(text_col))
     marks = docs.select(*keys, X.per(F.regexp_count(norm, F.lit("—")), words, 1000).alias("dashes"), X.per(F.regexp_count(norm, F.lit(r"\(")), words, 1000).alias("parentheses"))
     return s.join(marks, keys)
+
+
+def tag_shares(annotated: DataFrame, group: list[str], tag: str = "tag") -> DataFrame:
+    """group, tag, n, share in percent of the tagged tokens, and the group's nouns for each verb."""
+    counts = annotated.where(F.col(tag).isNotNull()).groupBy(*group, tag).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*group)
+    nouns, verbs = (F.sum(F.when(F.col(tag) == t, F.col("n")).otherwise(0)).over(w) for t in ("NOUN", "VERB"))
+    return counts.select(*group, tag, "n", (100.0 * F.col("n") / F.sum("n").over(w)).alias("share"), F.try_divide(nouns, verbs).alias("nouns_per_verb"))
+
+
+def tagged_counts(annotated: DataFrame, grammeme: str, group: list[str], ambiguous: list[str] | None = None, k: int = 20) -> DataFrame:
+    """group, lemma, n, rank: the commonest capitalised words with a grammeme (a place, a surname); ``ambiguous`` lemmas are left out."""
+    held = annotated.where(F.array_contains("grammemes", grammeme) & F.col("word").rlike(r"^\p{Lu}") & ~F.col("lemma").isin(ambiguous or [""]))
+    counts = held.groupBy(*group, "lemma").agg(F.count("*").alias("n"))
+    return examples(counts, group, [F.desc("n"), "lemma"], k)
+
+
+def author_measures(docs: DataFrame, group: str, first: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """group, texts, words, mean syllables of a line, open line ends %, mean sentence length, commas and dashes per 1000
+    words, types among the first words. Groups are authors, whose works are few."""
+    from corpusforge.operators.tokens import line_table, sentence_table, token_table
+
+    lines = line_table(docs, [group], text_col).where(F.trim("line") != "")
+    by_line = lines.groupBy(group).agg(F.avg(X.syllables("line")).alias("syllables"), (100 * F.avg(F.rtrim("line").rlike(r"\p{L}$").cast("int"))).alias("open_share"))
+    words = F.size(X.tokens(text_col))
+    norm = X.normalised_punctuation(text_col, True)
+    whole = docs.groupBy(group).agg(F.count("*").alias("texts"), F.sum(words).alias("words"), X.per(F.sum(F.regexp_count(norm, F.lit(","))), F.sum(words), 1000).alias("commas"), X.per(F.sum(F.regexp_count(norm, F.lit("—"))), F.sum(words), 1000).alias("dashes"))
+    sentence = sentence_table(docs, [group], text_col).groupBy(group).agg(F.avg("n_words").alias("sentence_words"))
+    types = first_types(token_table(docs, [group, id_col], text_col), [group], [id_col, "pos"], first)
+    return whole.join(by_line, group, "left").join(sentence, group, "left").join(types, group, "left")
+
+
+def cluster_features(cards: DataFrame, least_lines: int = 12) -> DataFrame:
+    """Cards fit for clustering: ``least_lines`` lines or more, a period and a sentence length; nouns per verb null as
+    2.5 and at most 8, sentences at most 15 lines, metre as two marks (classical, free)."""
+    kept = cards.where((F.col("lines") >= least_lines) & F.col("period").isNotNull() & F.col("sentence_lines").isNotNull())
+    return kept.withColumns({
+        "nouns_per_verb": F.least(F.coalesce("nouns_per_verb", F.lit(2.5)), F.lit(8.0)),
+        "sentence_lines": F.least("sentence_lines", F.lit(15.0)),
+        "classical": F.col("metre").isin("iamb", "trochee", "dactyl", "amphibrach", "anapaest").cast("double"),
+        "free": (F.col("metre") == "free").cast("double"),
+    })

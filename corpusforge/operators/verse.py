@@ -213,3 +213,20 @@ def simile_rates(docs: DataFrame, group: list[str], patterns: dict[str, str], te
     from corpusforge.operators.stats import punctuation_rates
 
     return punctuation_rates(docs.withColumn(text_col, F.lower(text_col)), group, text_col, patterns).withColumnRenamed("mark", "kind")
+
+
+def metre_examples(lines: DataFrame, metre: str, cap: int = 40, low: int = 22, high: int = 58) -> DataFrame:
+    """Lines of a metre (profile, line) of 22 to 58 characters all of whose strong places are stressed, ``cap`` at most,
+    in order of their text."""
+    foot, strong = METRES[metre]
+    p = F.col("profile")
+    full = F.forall(F.sequence(F.lit(0), F.length(p) - 1), lambda i: (F.pmod(i, F.lit(foot)) != strong) | (F.substring(p, i + 1, F.lit(1)) == "S"))
+    ok = lines.where((F.length(p) > strong) & F.length(F.replace("line", F.lit("+"), F.lit(""))).between(low, high))
+    return ok.where(fits(p, foot, strong) & full).orderBy("line").limit(cap)
+
+
+def rhyme_examples(pairs: DataFrame, kind: str, cap: int = 60, least: int = 3) -> DataFrame:
+    """Different pairs of words of one rhyme type with three letters or more each, the commonest first."""
+    held = pairs.where((F.col("type") == kind) & (F.least(F.length("word_i"), F.length("word_j")) >= least))
+    counts = held.groupBy(F.least("word_i", "word_j").alias("a"), F.greatest("word_i", "word_j").alias("b")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "a", "b").limit(cap)

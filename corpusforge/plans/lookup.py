@@ -98,3 +98,38 @@ def highlighted_examples(lines: DataFrame, word: str, k: int = 3) -> DataFrame:
     """The first k lines with a word of this stem, marked: doc_id, line_no, line."""
     marked = lines.withColumn("line", X.highlighted("line", word))
     return marked.where(F.col("line").contains("<b>")).orderBy("doc_id", "line_no").limit(k)
+
+
+def word_map(vectors: DataFrame, lexicon: DataFrame, group: str, k: int = 6) -> DataFrame:
+    """query, neighbour, cosine, rank among the lexicon's words (field, word): the words of one field with their
+    nearest neighbours. vectors: word, vector."""
+    from corpusforge.operators.style import cosine_neighbours
+
+    inside = vectors.join(lexicon.select("word").distinct(), "word", "left_semi")
+    asked = inside.join(lexicon.where(F.col("field") == group).select("word").distinct(), "word", "left_semi")
+    return cosine_neighbours(inside, asked, "word", "vector", k)
+
+
+def simile_series(rates: DataFrame, kind: str, period: str) -> DataFrame:
+    """period, rate of one kind of simile, in order of period."""
+    return rates.where(F.col("kind") == kind).select(period, F.col("per_1000").alias("rate")).orderBy(period)
+
+
+def consonant_excess(ratios: DataFrame, k: int = 10) -> DataFrame:
+    """The k consonants that one corpus has most in excess, in percent."""
+    return ratios.select("letter", ((F.col("ratio") - 1) * 100).alias("excess")).orderBy(F.desc("excess"), "letter").limit(k)
+
+
+def distance_map(distances: DataFrame, cuts: list, key_low: str = "a", key_high: str = "b") -> DataFrame:
+    """Distances with ``crosses``: whether a change point lies between the two."""
+    crosses = F.lit(False)
+    for c in cuts:
+        crosses = crosses | ((F.col(key_low) < F.lit(c)) & (F.col(key_high) >= F.lit(c)))
+    return distances.withColumn("crosses", crosses)
+
+
+def palette(counts: DataFrame, low: int, high: int, period: str = "y", k: int = 5) -> DataFrame:
+    """The k commonest hues of a range of years: hue, n, share."""
+    inside = counts.where(F.col(period).between(low, high)).groupBy("hue").agg(F.sum("n").alias("n"))
+    total = inside.agg(F.sum("n").alias("t"))
+    return inside.crossJoin(F.broadcast(total)).select("hue", "n", (100.0 * F.col("n") / F.col("t")).alias("share")).orderBy(F.desc("n"), "hue").limit(k)  # one row

@@ -135,3 +135,13 @@ SHELVES = [("motion", "paths", "there", 1), ("motion", "steps", "then", 2), ("pl
 SELECT category, shelf, tok.word AS word, count(*) AS n FROM tok JOIN l USING (word) GROUP BY ROLLUP (category, shelf, tok.word)""")
 def lexicon_shelves(spark: SparkSession, sf: str) -> DataFrame:
     return E.shelves(tok(spark, sf), spark.createDataFrame(SHELVES, "category string, shelf string, word string, ord int"))
+
+
+@query("entity_card")
+def entity_card(spark: SparkSession, sf: str) -> DataFrame:
+    occ = occurrences(spark, sf)
+    stats = E.entity_stats(occ, "lang", ["en", "fr"], "doc_id")
+    name = E.network_core(stats, 1, 1).agg(F.min("word")).first()[0] or ""
+    lines = T.line_table(documents(spark, sf), ["doc_id"]).where(F.contains(F.lower("line"), F.lit(name)))
+    contexts = E.contexts(lines.select(F.lit(name).alias("word"), F.col("doc_id").alias("doc"), "line_no", "line"))
+    return lookup.entity_card(stats, E.co_mention(occ, ["doc_id"], 2), contexts, name)

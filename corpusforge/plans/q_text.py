@@ -303,3 +303,35 @@ def speaker_word_rates(spark: SparkSession, sf: str) -> DataFrame:
 def english_subset(spark: SparkSession, sf: str) -> DataFrame:
     kept = tok(spark, sf).where((F.col("lang") == "en") & ~F.col("word").isin(FUNCTION_WORDS))
     return S.top_terms(kept.withColumn("all", F.lit(1)), ["all"], 30).select("word", "n", "rank")
+
+
+@query("first_and_last_examples", f"""WITH {LIN}, e AS (SELECT doc_id, line_no, line, unnest(list_intersect(regexp_extract_all(lower(line), '\\p{{L}}+(?:-\\p{{L}}+)*'), ['thing', 'ander', 'the', 'der'])) AS word FROM lin WHERE length(line) BETWEEN 20 AND 80)
+SELECT word, arg_min(line, doc_id * 100000 + line_no) AS first, arg_max(line, doc_id * 100000 + line_no) AS last FROM e GROUP BY word""")
+def first_and_last_examples(spark: SparkSession, sf: str) -> DataFrame:
+    from corpusforge.operators.docs import first_and_last_examples as examples
+
+    return examples(lin(spark, sf), ["thing", "ander", "the", "der"], ["doc_id"])
+
+
+@query("author_measures", f"""WITH {STANZA}, a AS (SELECT source, avg({SYL}) AS syllables, 100 * avg(regexp_matches(rtrim(line), '\\p{{L}}$')::INT) AS open_share FROM st GROUP BY 1),
+n AS (SELECT source, len(regexp_extract_all(text, '\\p{{L}}+(?:-\\p{{L}}+)*')) AS w, replace(replace(replace(replace(text, '--', '—'), ' - ', ' — '), '…', '...'), ' – ', ' — ') AS t FROM documents),
+b AS (SELECT source, count(*) AS texts, sum(w)::BIGINT AS words, sum(len(regexp_extract_all(t, ','))) * 1000.0 / sum(w) AS commas, sum(len(regexp_extract_all(t, '—'))) * 1000.0 / sum(w) AS dashes FROM n GROUP BY 1),
+s0 AS (SELECT source, unnest(string_split(regexp_replace(text, '([.!?])\\s+([«"(—\\p{{Lu}}0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS x FROM documents), s AS (SELECT source, len(regexp_extract_all(x, '\\p{{L}}+(?:-\\p{{L}}+)*')) AS w FROM s0), c AS (SELECT source, avg(w) AS sentence_words FROM s WHERE w > 0 GROUP BY 1),
+{TOK}, k AS (SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) AS k FROM tok), d AS (SELECT source, count(DISTINCT word) AS types FROM k WHERE k <= 3000 GROUP BY 1)
+SELECT source, texts, words, round(commas, 6) AS commas, round(dashes, 6) AS dashes, round(syllables, 6) AS syllables, round(open_share, 6) AS open_share, round(sentence_words, 6) AS sentence_words, types FROM b LEFT JOIN a USING (source) LEFT JOIN c USING (source) LEFT JOIN d USING (source)""")
+def author_measures(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(S.author_measures(documents(spark, sf), "source", 3000), "commas", "dashes", "syllables", "open_share", "sentence_words")
+
+
+@query("word_rate_series", f"WITH {TOK} SELECT source, count_if(word = 'the') AS n, round(count_if(word = 'the') * 10000.0 / count(*), 6) AS rate FROM tok GROUP BY source")
+def word_rate_series(spark: SparkSession, sf: str) -> DataFrame:
+    from corpusforge.plans.lookup import rate_series
+
+    return rounded(rate_series(tok(spark, sf), "the", "source"), "rate")
+
+
+@query("without_notes", "SELECT doc_id, md5(string_split(text, chr(10) || chr(10) || 'Notes:')[1]) AS body FROM documents")
+def without_notes(spark: SparkSession, sf: str) -> DataFrame:
+    from corpusforge.operators.docs import without_notes as cut
+
+    return documents(spark, sf).select("doc_id", F.md5(cut("text")).alias("body"))

@@ -345,3 +345,36 @@ def test_new_files_are_processed_once(spark, tmp_path):
         spark.createDataFrame([(i,)], "x int").write.mode("append").parquet(source)
         process_new_files(spark, source, spark.createDataFrame([], "x int").schema, lambda df: df.withColumn("y", F.col("x") + 1), out, mark)
     assert sorted(r["y"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_corpora(spark):
+    t = spark.createDataFrame([("ru", "poetry", "own", "A poem"), ("ru", "prose", "own", "A poem"), ("ru", "prose", "own", "Essay"), ("en", "poetry", "own", "E"), ("ru", "poetry", "about", "X")], "lang string, genre string, author string, title string")
+    c = D.corpora(t)
+    assert {k: v.count() for k, v in c.items()} == {"own": 3, "poetry": 1, "prose": 1, "other": 1}
+
+
+def test_tags_and_features(spark):
+    t = spark.createDataFrame([("p", "NOUN", "Рим", "рим", ["Geox"]), ("p", "NOUN", "дом", "дом", []), ("p", "VERB", "идёт", "идти", []), ("p", None, "x", "x", [])], "per string, tag string, word string, lemma string, grammemes array<string>")
+    got = {r["tag"]: (r["n"], r["nouns_per_verb"]) for r in S.tag_shares(t, ["per"]).collect()}
+    assert got == {"NOUN": (2, 2.0), "VERB": (1, 2.0)}
+    assert [r["lemma"] for r in S.tagged_counts(t, "Geox", ["per"]).collect()] == ["рим"]
+    cards = spark.createDataFrame([(12, 1, 20.0, None, "iamb"), (12, None, 1.0, 1.0, "free"), (3, 1, 1.0, 1.0, "free")], "lines int, period int, sentence_lines double, nouns_per_verb double, metre string")
+    assert rows(S.cluster_features(cards).select("sentence_lines", "nouns_per_verb", "classical", "free")) == [(15.0, 2.5, 1.0, 0.0)]
+
+
+def test_verse_examples(spark):
+    t = spark.createDataFrame([("uSuSuSuS", "мой д+ом стоит на берег+у рек+и"), ("uSuuuSuS", "а эт+от стих не весь удар+ен зд+есь")], "profile string, line string")
+    assert [r["profile"] for r in V.metre_examples(t, "iamb").collect()] == ["uSuSuSuS"]
+    p = spark.createDataFrame([("exact", "кровь", "любовь"), ("exact", "любовь", "кровь"), ("exact", "ты", "мы")], "type string, word_i string, word_j string")
+    assert rows(V.rhyme_examples(p, "exact")) == [("кровь", "любовь", 2)]
+
+
+def test_more_lookups(spark):
+    c = spark.createDataFrame([(1990, "red", 3), (1991, "red", 1), (1991, "blue", 4), (2000, "red", 9)], "y int, hue string, n int")
+    assert rows(lookup.palette(c, 1990, 1995)) == [("blue", 4, 50.0), ("red", 4, 50.0)]
+    d = spark.createDataFrame([(1990, 1995, 1.0), (1996, 1999, 1.0)], "a int, b int, distance double")
+    assert [r["crosses"] for r in lookup.distance_map(d, [1994]).orderBy("a").collect()] == [True, False]
+    r = spark.createDataFrame([("b", 1.5), ("c", 0.5)], "letter string, ratio double")
+    assert rows(lookup.consonant_excess(r, 1)) == [("b", 50.0)]
+    s = spark.createDataFrame([("like", "p", 2.0), ("as", "p", 1.0)], "kind string, per string, per_1000 double")
+    assert rows(lookup.simile_series(s, "like", "per")) == [("p", 2.0)]
