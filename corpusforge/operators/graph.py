@@ -15,8 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     second step doubles the reach of each round. No edges give no rows; loops and repeated edges do no harm.
     """
     shared_folder(edges.sparkSession)
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct().checkpoint()
+    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = edges.select(F.explode(ways).alias("e")).select("e.node", "e.other").distinct().checkpoint()
     labels = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")).checkpoint()
     while True:
         seen = labels.select(F.col("node").alias("other"), F.col("label").alias("l"))
