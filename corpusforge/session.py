@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -15,8 +18,21 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, name
     return b.getOrCreate()
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Python workers look for the package where the driver has it, too, whatever their working directory.
+
+    Where executors don't have that folder, install the package there or pass it by --py-files.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def shared_folder(spark: SparkSession) -> None:
     """Makes checkpoint() usable: the cluster's folder if it names one, else a local one (tests)."""
+    workers_import(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
