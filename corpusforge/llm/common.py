@@ -9,12 +9,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusforge.session import workers_import
+
 #: Characters of text that one inner step of a Python operator holds at a time.
 CHUNK_CHARS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by whatever path Spark can read."""
+    workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,6 +58,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable[[list[st
 
     ``schema`` lists the columns that ``work`` returns; the id keeps its own name and type.
     """
+    workers_import(df.sparkSession)
     source = only(df, id_col, text_col)
     kind = source.schema[0].dataType.simpleString()
 

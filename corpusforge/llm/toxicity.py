@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import by_chunks, held_out, map_texts
+from corpusforge.session import workers_import
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOKALIKES = dict(zip("аеорсухіјѕԁһӏвкмнтαορνικτυχε", "aeopcyxijsdhlbkmhtaopviktuxe", strict=True))
@@ -249,6 +250,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, with all their columns; null and empty texts stay."""
+    workers_import(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.dumps(), model))
     at = docs.columns.index(text_col)
 
