@@ -10,6 +10,10 @@ Documents whose words are the same are one node. Nodes that agree in all rows of
 bucket every node is compared with two hubs, which differ from band to band, so a bucket makes at most two pairs
 for each member. Agreement of signatures far from the threshold decides; pairs nearer to it are decided by the
 exact Jaccard similarity of their shingles where they would join two classes.
+
+Two hubs test every pair of a bucket of three. In larger buckets that still hold several classes all pairs of
+different classes are compared, in blocks and without being emitted: a block returns some edge-disjoint maximum
+spanning forests of its classes, so what it returns grows with its members, and those edges are decided as above.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.llm.bit_filter import bits_of, maybe_in
 from corpusforge.llm.common import by_chunks, only, text_or_empty
 from corpusforge.operators.graph import components
 from corpusforge.session import shared_folder
@@ -34,6 +39,8 @@ COORDINATES, BAND_ROWS = 192, 6
 SURE = 4.0
 #: Darts for each coordinate beyond ln t, and documents that throw together.
 EXTRA, TOGETHER = 3.0, 128
+#: Nodes of a bucket in one block, and spanning forests that a block returns.
+BLOCK, FORESTS = 1024, 6
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 300_000
 
@@ -209,6 +216,75 @@ def _exact(spark_pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity
     return joined.mapInArrow(judged, "a long, b long, similarity double").where(F.col("similarity") >= similarity).select("a", "b")
 
 
+def spanning_edges(signatures_: np.ndarray, labels: np.ndarray, least: float, forests: int = FORESTS) -> list[tuple[int, int, float]]:
+    """(i, j, agreement) of edge-disjoint maximum spanning forests of the labels, over agreements of ``least`` or more.
+
+    Every class takes its best edge to another one, all at once, until none is left (Boruvka's steps).
+    """
+    n = len(labels)
+    agree = np.empty((n, n), np.float32)
+    for i in range(n):
+        agree[i] = (signatures_ == signatures_[i]).mean(axis=1)
+    agree[agree < least] = -1
+    agree[labels[:, None] == labels[None]] = -1
+    out: list[tuple[int, int, float]] = []
+    for _ in range(forests):
+        _, group = np.unique(labels, return_inverse=True)
+        taken: list[tuple[int, int]] = []
+        open_ = agree.copy()
+        while True:
+            best = open_.argmax(axis=1)
+            value = open_[np.arange(n), best]
+            order = np.lexsort((best, -value, group))
+            first = order[np.concatenate([[True], group[order][1:] != group[order][:-1]])]
+            joined = False
+            parent = {int(g): int(g) for g in np.unique(group)}
+
+            def find(g: int, parent: dict[int, int] = parent) -> int:
+                while parent[g] != g:
+                    g = parent[g]
+                return g
+
+            for i in first[value[first] >= least].tolist():
+                j = int(best[i])
+                x, y = find(int(group[i])), find(int(group[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    taken.append((i, j))
+                    joined = True
+            if not joined:
+                break
+            group = np.array([find(int(g)) for g in group])
+            open_[group[:, None] == group[None]] = -1
+        if not taken:
+            break
+        for i, j in taken:
+            out.append((i, j, float(agree[i, j])))
+            agree[i, j] = agree[j, i] = -1
+    return out
+
+
+def _unsettled_edges(banded: DataFrame, labels: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """a, b, agree: edges between classes in buckets of four nodes or more that hold several."""
+    of = labels.select("node", "label")
+    placed = banded.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n >= 4").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).checkpoint()
+    held = maybe_in(placed, bits_of(open_, "band"), "band").join(open_, "band")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")
+    block_pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    rows = held.select("band", "node", "label", F.explode(block_pairs).alias("p")).select("band", "p.i", "p.j", "node", "label").join(signed, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes, marks = group["node"].to_numpy(), group["label"].to_numpy()
+        sigs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(nodes), -1)
+        edges = spanning_edges(sigs, marks, least)
+        ends = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), v) for i, j, v in edges]
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.int64()), "b": pa.array([e[1] for e in ends], pa.int64()), "agree": pa.array([e[2] for e in ends], pa.float64())})
+
+    found = rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long, agree double")
+    return found.groupBy("a", "b").agg(F.max("agree").alias("agree")).checkpoint()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_hash, class_id (the least id of the row's class), class_rows, node_rows and keeps of every row.
 
@@ -235,17 +311,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     margin = SURE * (similarity * (1 - similarity) / COORDINATES) ** 0.5
     agreed = _agreement(both).where(F.col("agree") >= similarity - margin).checkpoint()
 
-    sure = components(agreed.where(F.col("agree") >= similarity + margin)).checkpoint()
-    of = sure.select(F.col("node").alias("x"), "label")
-    unsure = agreed.where(F.col("agree") < similarity + margin)
-    apart = unsure.join(of.select(F.col("x").alias("a"), F.col("label").alias("la")), "a", "left").join(of.select(F.col("x").alias("b"), F.col("label").alias("lb")), "b", "left")
-    apart = apart.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb").checkpoint()
-    true_links = _exact(apart.select("a", "b"), nodes, docs, similarity, weighted, id_col, text_col)
-    joins = apart.join(true_links, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    merged = components(joins).select(F.col("node").alias("label"), F.col("label").alias("top"))
-
-    labelled = nodes.select("node", "key", "rep").join(sure, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = labelled.join(merged, "label", "left").select("key", "rep", F.coalesce("top", "label").alias("class")).checkpoint()
+    def settled(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """node, label after the edges (a, b, agree) are decided; nodes that stand alone may be missing."""
+        ends = edges
+        for end in ("a", "b"):
+            if labels is None:
+                ends = ends.withColumn(f"l{end}", F.col(end))
+            else:
+                ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+        ends = ends.where("la <> lb").checkpoint()
+        sure = components(ends.where(F.col("agree") >= similarity + margin).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        apart = ends.where(F.col("agree") < similarity + margin)
+        for end in ("la", "lb"):
+            apart = apart.join(sure.select(F.col("node").alias(end), F.col("label").alias("top")), end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
+        apart = apart.where("la <> lb").select("a", "b", "la", "lb").checkpoint()
+        true_links = _exact(apart.select("a", "b"), nodes, docs, similarity, weighted, id_col, text_col)
+        joined = apart.join(true_links, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        found = sure.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(joined)
+        if labels is not None:
+            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return components(found)
+
+    first = settled(agreed, None)
+    second = _unsettled_edges(banded, first, signed, similarity - margin)
+    labels = settled(second, first)
+    labelled = nodes.select("node", "key", "rep").join(labels, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("class")).checkpoint()
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
     heads = labelled.join(counts, "key").groupBy("class").agg(F.min("rep").alias("head"), F.sum("n").alias("class_rows"))
     by_key = labelled.select("key", "class").join(heads, "class").select("key", "head", "class_rows").checkpoint()
