@@ -140,6 +140,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_copies_that_are_near_their_original_alone(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: 7 + i % 46] + [f"new{i}"] + base[8 + i % 46 :]) for i in range(150)]
+    texts.insert(77, " ".join(base))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    assert len(sets[0] & sets[10]) / len(sets[0] | sets[10]) < 0.8 < len(sets[0] & sets[77]) / len(sets[0] | sets[77])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["class_id"] for r in dart_minhash.near_duplicates(d).collect()} == {0}
+
+
+def test_spanning_edges_are_disjoint_forests():
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 3, (30, 192)).astype(np.uint16)
+    labels = np.array([i // 3 for i in range(30)])
+    edges = dart_minhash.spanning_edges(sigs, labels, 0.0, forests=2)
+    assert len({(min(i, j), max(i, j)) for i, j, _ in edges}) == len(edges) == 2 * 9
+    assert all(labels[i] != labels[j] and v == pytest.approx((sigs[i] == sigs[j]).mean()) for i, j, v in edges)
+    assert dart_minhash.spanning_edges(sigs, labels, 0.99) == []
+
+
 def test_near_duplicates_with_repeated_rows_and_null_ids(spark):
     d = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "other words stand here alone now")], "doc_id long, text string")
     got = dart_minhash.near_duplicates(d)
