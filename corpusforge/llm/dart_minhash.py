@@ -311,30 +311,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     margin = SURE * (similarity * (1 - similarity) / COORDINATES) ** 0.5
     agreed = _agreement(both).where(F.col("agree") >= similarity - margin).checkpoint()
 
-    def settled(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """node, label after the edges (a, b, agree) are decided; nodes that stand alone may be missing."""
-        ends = edges
-        for end in ("a", "b"):
-            if labels is None:
-                ends = ends.withColumn(f"l{end}", F.col(end))
-            else:
-                ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
-        ends = ends.where("la <> lb").checkpoint()
-        sure = components(ends.where(F.col("agree") >= similarity + margin).select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        apart = ends.where(F.col("agree") < similarity + margin)
-        for end in ("la", "lb"):
-            apart = apart.join(sure.select(F.col("node").alias(end), F.col("label").alias("top")), end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
-        apart = apart.where("la <> lb").select("a", "b", "la", "lb").checkpoint()
-        true_links = _exact(apart.select("a", "b"), nodes, docs, similarity, weighted, id_col, text_col)
-        joined = apart.join(true_links, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        found = sure.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(joined)
-        if labels is not None:
-            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        return components(found)
-
-    first = settled(agreed, None)
-    second = _unsettled_edges(banded, first, signed, similarity - margin)
-    labels = settled(second, first)
+    sure = components(agreed.where(F.col("agree") >= similarity + margin).select("a", "b"))
+    crowded = _unsettled_edges(banded, sure, signed, similarity - margin)
+    more = crowded.where(F.col("agree") >= similarity + margin).select("a", "b")
+    sure = components(sure.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+
+    # Pairs that agreement leaves open count where they would join two classes, if they are truly similar.
+    apart = agreed.unionByName(crowded).where(F.col("agree") < similarity + margin).select("a", "b").distinct()
+    for end in ("a", "b"):
+        apart = apart.join(sure.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+    apart = apart.where("la <> lb").checkpoint()
+    true_links = _exact(apart.select("a", "b"), nodes, docs, similarity, weighted, id_col, text_col)
+    joins = apart.join(true_links, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    merged = components(joins).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    labels = sure.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    alone = merged.join(sure.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    labels = labels.unionByName(alone)
     labelled = nodes.select("node", "key", "rep").join(labels, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("class")).checkpoint()
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
     heads = labelled.join(counts, "key").groupBy("class").agg(F.min("rep").alias("head"), F.sum("n").alias("class_rows"))
