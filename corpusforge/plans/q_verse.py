@@ -1,5 +1,5 @@
 """Queries on line ends, sound and sentences across lines. The supplied texts carry no stress, so stress-based
-operators run here over a small invented table and are otherwise held by tests."""
+operators run here over a few well-known lines and are otherwise held by tests."""
 
 from __future__ import annotations
 
@@ -107,7 +107,7 @@ def simile_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.simile_rates(documents(spark, sf), ["lang"], {"as": " as ", "like": " like "}), "per_1000")
 
 
-#: Invented stressed lines: poem, stanza, line.
+#: Stressed lines of public-domain verse: poem, stanza, line.
 STRESSED = [(p, s, i, x) for p, poem in enumerate((("мой д+ядя с+амых ч+естных пр+авил", "когд+а не в ш+утку занем+ог", "он уваж+ать себ+я заст+авил", "и л+учше в+ыдумать не м+ог"), ("б+уря мгл+ою н+ебо кр+оет", "в+ихри сн+ежные крут+я", "т+о как зв+ерь он+а зав+оет", "т+о запл+ачет к+ак дит+я"))) for s, i, x in ((0, n, line) for n, line in enumerate(poem))]
 
 
