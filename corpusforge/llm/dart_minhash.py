@@ -14,6 +14,8 @@ exact Jaccard similarity of their shingles where they would join two classes.
 Two hubs test every pair of a bucket of three. In larger buckets that still hold several classes all pairs of
 different classes are compared, in blocks and without being emitted: a block returns some edge-disjoint maximum
 spanning forests of its classes, so what it returns grows with its members, and those edges are decided as above.
+Where classes are still apart then, every pair of them whose signatures don't rule it out is decided by its exact
+similarity inside its block, which returns the joins alone. So no pair that shares a band is left untested.
 """
 
 from __future__ import annotations
@@ -184,9 +186,8 @@ def _agreement(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, agree double")
 
 
-def _exact(spark_pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, weighted: bool, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is at least ``similarity``."""
-    asked = spark_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, elements and counts (the shingle hashes, rising, and how often each occurs) of the nodes ``asked``."""
     places = nodes.join(asked, "node").select("node", F.col("rep.id").alias("p_id"), F.col("rep.text_hash").alias("p_hash"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
     held = texts.join(places, F.col("id").eqNullSafe(F.col("p_id")) & (F.xxhash64("text") == F.col("p_hash"))).select("node", "text")
@@ -198,7 +199,12 @@ def _exact(spark_pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity
                 sets = shingler.shingles([words_of(t) for t in chunk])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array([n.tobytes() for _, n in sets], pa.binary())], names=["node", "elements", "counts"])
 
-    sets = held.mapInArrow(shingled, "node long, elements binary, counts binary").dropDuplicates(["node"]).checkpoint()
+    return held.mapInArrow(shingled, "node long, elements binary, counts binary").dropDuplicates(["node"]).checkpoint()
+
+
+def _exact(spark_pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, weighted: bool, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose exact similarity is at least ``similarity``."""
+    sets = _sets(spark_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, id_col, text_col)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,15 +270,28 @@ def spanning_edges(signatures_: np.ndarray, labels: np.ndarray, least: float, fo
     return out
 
 
-def _unsettled_edges(banded: DataFrame, labels: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """a, b, agree: edges between classes in buckets of four nodes or more that hold several."""
-    of = labels.select("node", "label")
-    placed = banded.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the label of each one's node; a node without one is its own."""
+    return rows.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _crowded(banded: DataFrame, labels: DataFrame) -> DataFrame:
+    """number, band, node, label, blocks: the nodes of buckets of four or more that hold several classes."""
+    placed = _labelled(banded, labels)
     open_ = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n >= 4").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).checkpoint()
-    held = maybe_in(placed, bits_of(open_, "band"), "band").join(open_, "band")
+    return maybe_in(placed, bits_of(open_, "band"), "band").join(open_, "band").select("number", "band", "node", "label", "blocks").checkpoint()
+
+
+def _in_blocks(held: DataFrame) -> DataFrame:
+    """The nodes of ``held`` once for every two blocks (i, j) of their bucket one of which is their own."""
     own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")
     block_pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    rows = held.select("band", "node", "label", F.explode(block_pairs).alias("p")).select("band", "p.i", "p.j", "node", "label").join(signed, "node")
+    return held.select("number", "band", "node", "label", own.alias("own"), F.explode(block_pairs).alias("p")).select("number", "band", "p.i", "p.j", "own", "node", "label")
+
+
+def _unsettled_edges(held: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """a, b, agree: edges between classes in the crowded buckets ``held``."""
+    rows = _in_blocks(held).select("band", "i", "j", "node", "label").join(signed, "node")
 
     def run(group: pa.Table) -> pa.Table:
         nodes, marks = group["node"].to_numpy(), group["label"].to_numpy()
@@ -285,6 +304,83 @@ def _unsettled_edges(banded: DataFrame, labels: DataFrame, signed: DataFrame, le
     return found.groupBy("a", "b").agg(F.max("agree").alias("agree")).checkpoint()
 
 
+def open_pairs(signatures_: np.ndarray, labels: np.ndarray, own: np.ndarray, across: bool, number: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, later rows j): pairs of two labels that agree in ``least`` or more and whose first common band is ``number``.
+
+    ``across``: only pairs of two blocks. So a pair comes once, whatever number of bands and blocks it shares.
+    """
+    for i in range(len(labels) - 1):
+        j = i + 1 + np.flatnonzero((labels[i + 1 :] != labels[i]) & ((own[i + 1 :] != own[i]) | (not across)))
+        same = signatures_[j] == signatures_[i]
+        near = same.mean(axis=1) >= least
+        j, same = j[near], same[near]
+        first = same.reshape(len(j), signatures_.shape[1] // BAND_ROWS, BAND_ROWS).all(axis=2).argmax(axis=1)
+        if (first == number).any():
+            yield i, j[first == number]
+
+
+def true_joins(pairs: Iterator[tuple[int, np.ndarray]], elements: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Two labels for each of ``pairs`` that is truly similar and still joins two classes, by the sets of elements."""
+    flat = np.unique(np.concatenate(elements), return_inverse=True)[1]
+    ends = np.cumsum([len(e) for e in elements])
+    ids = np.split(flat, ends[:-1])
+    sizes = np.array([c.sum() for c in counts])
+    root, mark, out = labels.copy(), np.zeros(int(flat.max()) + 1, np.int64), []
+    for i, j in pairs:
+        j = j[root[j] != root[i]]
+        if not len(j):
+            continue
+        mark[ids[i]] = counts[i]
+        starts = np.cumsum([0, *(len(ids[k]) for k in j[:-1])])
+        both = np.add.reduceat(np.minimum(mark[np.concatenate([ids[k] for k in j])], np.concatenate([counts[k] for k in j])), starts)
+        mark[ids[i]] = 0
+        for k in j[both / (sizes[i] + sizes[j] - both) >= similarity].tolist():
+            if root[k] != root[i]:
+                out.append((int(labels[i]), int(labels[k])))
+                root[root == root[k]] = root[i]
+    return out
+
+
+def _last_joins(held: DataFrame, labels: DataFrame, signed: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, similarity: float, weighted: bool, id_col: str, text_col: str) -> DataFrame:
+    """a, b: labels that truly similar pairs join, of all pairs of two classes in the crowded buckets ``held``.
+
+    Every pair whose signatures agree in ``least`` or more is decided by its exact similarity inside a block, so
+    what leaves a block are joins of its classes. Sets of shingles are fetched only for nodes that have such a pair.
+    """
+    placed = _labelled(held.drop("label"), labels)
+    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    rows = _in_blocks(placed.join(mixed, "band")).join(signed, "node")
+
+    def pairs_of(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        sigs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(group.num_rows, -1)
+        number, i, j = (group[c][0].as_py() for c in ("number", "i", "j"))
+        return open_pairs(sigs, group["label"].to_numpy(), group["own"].to_numpy(), i != j, number, least)
+
+    def asking(group: pa.Table) -> pa.Table:
+        hit = np.zeros(group.num_rows, bool)
+        for i, j in pairs_of(group):
+            hit[i] = hit[j] = True
+        return group.select(["number", "band", "i", "j", "own", "node", "label"]).filter(pa.array(hit))
+
+    def joining(group: pa.Table) -> pa.Table:
+        elements = [np.frombuffer(x, np.uint64) for x in group["elements"].to_pylist()]
+        counts = [np.frombuffer(x, np.int64) for x in group["counts"].to_pylist()] if weighted else [np.ones(len(e), np.int64) for e in elements]
+        joins = true_joins(pairs_of(group), elements, counts, group["label"].to_numpy(), similarity)
+        return pa.table({"a": pa.array([x for x, _ in joins], pa.int64()), "b": pa.array([y for _, y in joins], pa.int64())})
+
+    asked = rows.groupBy("band", "i", "j").applyInArrow(asking, "number int, band long, i int, j int, own int, node long, label long").checkpoint()
+    sets = _sets(asked.select("node").distinct(), nodes, docs, id_col, text_col)
+    return asked.join(signed, "node").join(sets if weighted else sets.drop("counts"), "node").groupBy("band", "i", "j").applyInArrow(joining, "a long, b long").distinct().checkpoint()
+
+
+def _merged(labels: DataFrame, joins: DataFrame) -> DataFrame:
+    """node, label: ``labels`` with the labels that ``joins`` connects made one; a label may be a node without a row."""
+    merged = components(joins).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    moved = labels.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    alone = merged.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    return moved.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_hash, class_id (the least id of the row's class), class_rows, node_rows and keeps of every row.
 
@@ -301,7 +397,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
 
     width = 2 * BAND_ROWS
     bands = F.array(*[F.xxhash64(F.substring("signature", 1 + width * i, width), F.lit(i)) for i in range(COORDINATES // BAND_ROWS)])
-    banded = nodes.where("signature is not null").select("node", F.explode(bands).alias("band"))
+    banded = nodes.where("signature is not null").select("node", F.posexplode(bands).alias("number", "band"))
     order = F.xxhash64("node", "band")
     hubs = banded.groupBy("band").agg(F.min_by("node", order).alias("low"), F.max_by("node", order).alias("high")).where("low <> high").checkpoint()
     met = banded.join(hubs, "band").select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
@@ -312,7 +408,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     agreed = _agreement(both).where(F.col("agree") >= similarity - margin).checkpoint()
 
     sure = components(agreed.where(F.col("agree") >= similarity + margin).select("a", "b"))
-    crowded = _unsettled_edges(banded, sure, signed, similarity - margin)
+    held = _crowded(banded, sure)
+    crowded = _unsettled_edges(held, signed, similarity - margin)
     more = crowded.where(F.col("agree") >= similarity + margin).select("a", "b")
     sure = components(sure.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
@@ -323,10 +420,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     apart = apart.where("la <> lb").checkpoint()
     true_links = _exact(apart.select("a", "b"), nodes, docs, similarity, weighted, id_col, text_col)
     joins = apart.join(true_links, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    merged = components(joins).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    labels = sure.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    alone = merged.join(sure.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
-    labels = labels.unionByName(alone)
+    labels = _merged(sure, joins).checkpoint()
+    # What is left of the crowded buckets: no pair of two classes stays untested.
+    last = _last_joins(held, labels, signed, nodes, docs, similarity - margin, similarity, weighted, id_col, text_col)
+    labels = _merged(labels, last)
     labelled = nodes.select("node", "key", "rep").join(labels, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("class")).checkpoint()
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
     heads = labelled.join(counts, "key").groupBy("class").agg(F.min("rep").alias("head"), F.sum("n").alias("class_rows"))

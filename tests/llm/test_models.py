@@ -160,6 +160,31 @@ def test_spanning_edges_are_disjoint_forests():
     assert dart_minhash.spanning_edges(sigs, labels, 0.99) == []
 
 
+def test_true_links_among_many_near_misses(spark):
+    rng = random.Random(1)
+    texts = []
+    for t in range(300):
+        w = [f"w{i}" for i in range(200)]
+        for p in rng.sample(range(200), 3):
+            w[p] = f"n{t}x{p}"
+        texts.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(d).collect()} == dict(enumerate(brute_classes(texts)))
+
+
+def test_open_pairs_come_once_over_bands_and_blocks():
+    rng = np.random.default_rng(5)
+    sigs, labels, own = rng.integers(0, 2, (40, 192)).astype(np.uint16), np.arange(40) // 2, np.arange(40) % 3
+    found = []
+    for number in range(32):
+        for i in range(3):
+            for j in range(i, 3):
+                at = np.flatnonzero((own == i) | (own == j))
+                found += [(at[a], at[b]) for a, bs in dart_minhash.open_pairs(sigs[at], labels[at], own[at], i != j, number, 0.5) for b in bs]
+    shared = {(a, b) for a in range(40) for b in range(a + 1, 40) if labels[a] != labels[b] and (sigs[a] == sigs[b]).mean() >= 0.5 and (sigs[a] == sigs[b]).reshape(32, 6).all(axis=1).any()}
+    assert shared <= set(found) and len(found) == len(set(found))
+
+
 def test_near_duplicates_with_repeated_rows_and_null_ids(spark):
     d = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "other words stand here alone now")], "doc_id long, text string")
     got = dart_minhash.near_duplicates(d)
