@@ -5,6 +5,9 @@ items' words is counted over all documents; each window is then looked up by its
 word at position p, adjusted by the word's offset, is the only place where the window can start, and the
 window's other words are intersected there. A window with a word that no document has can't occur.
 
+Proximity windows, which may miss ``size - near`` of their words, are looked up by their ``size - near + 1`` rarest
+words, of which one stands wherever the others do. Words that no document has count among them as misses.
+
 The index is never shuffled: postings of a document are intersected where the document is read, and only matches
 leave. What is broadcast is the windows, while there are at most ``BROADCAST_WINDOWS`` of them; beyond that the
 postings and windows are joined by a shuffle.
@@ -53,7 +56,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, n
     """id, n_words, n_hit, n_items, items_sha256, contaminated and n_near of every row.
 
     n_hit counts the words inside occurrences of windows, each once; n_near the places where at least ``near``
-    of a window's ``size`` words stand, the rarest among them, but not all. A null or empty text has no words; an
+    of a window's ``size`` words stand at their offsets, but not all; a place begins at a word of the text. A null or empty text has no words; an
     item without words has no window; a null item id counts as the empty string; items may repeat. Null ids are
     kept; repeated rows (same id and text) give repeated results; other columns are ignored.
     """
@@ -69,7 +72,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, n
 
     by_rarity = Window.partitionBy("item", "window").orderBy(F.col("cf").asc_nulls_first(), "offset")
     ranked = terms.join(frequency, "key", "left").withColumn("rank", F.row_number().over(by_rarity))
-    anchors = ranked.where("rank = 1 and cf is not null").groupBy("key", "offset", "n", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    reach = F.when(F.col("n") == size, F.lit(max(size - near + 1, 1))).otherwise(F.lit(1))
+    anchors = ranked.where((F.col("rank") <= reach) & F.col("cf").isNotNull()).groupBy("key", "offset", "n", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
     # A document's words, then null: that last row carries the number of words whatever else is found.
     posted = rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words(F.col("text")).alias("w"))
@@ -112,5 +116,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, **how: object) -> DataFram
     Ids should be unique: rows that share an id go together if one of them is contaminated.
     """
     id_col = str(how.get("id_col", "doc_id"))
-    bad = contamination(docs, items, **how).where("contaminated").select(F.col(f"`{id_col}`").alias("_bad")).distinct()
+    exact = {"near": how.get("size", WINDOW_WORDS)}  # proximity decides nothing here, so it isn't looked for
+    bad = contamination(docs, items, **(how | exact)).where("contaminated").select(F.col(f"`{id_col}`").alias("_bad")).distinct()
     return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(F.col("_bad")), "left_anti")

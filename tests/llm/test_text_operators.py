@@ -190,6 +190,39 @@ def test_contamination_equals_brute_force(spark, monkeypatch, broadcast):
     assert rows(got.drop("n_near")) == brute_contamination([(r["doc_id"], r["text"]) for r in d.collect()], items)
 
 
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=14))) for k in range(8)]
+    texts = [" ".join(rng.choices(vocabulary, k=40)) for _ in range(10)]
+    for _ in range(40):
+        w = words(rng.choice(items)[1])
+        for at in rng.sample(range(14), rng.randint(0, 4)):
+            w[at] = rng.choice([*vocabulary, "rare", f"only{at}"])
+        if rng.random() < 0.3:
+            w.insert(rng.randrange(14), "put")
+        texts.append(" ".join(rng.choices(vocabulary, k=rng.randint(0, 3)) + w + rng.choices(vocabulary, k=rng.randint(0, 3))))
+    windows = {tuple(words(t)[i : i + 10]) for _, t in items for i in range(5)}
+
+    def places(t):
+        w, near, exact = words(t), set(), set()
+        for at in range(len(w)):
+            for x in windows:
+                same = sum(p == q for p, q in zip(w[at : at + 10], x))
+                (exact if same == 10 else near if same >= 8 else set()).add(at)
+        return len(near - exact)
+
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.contamination(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_near"] for r in got} == {i: places(t) for i, t in enumerate(texts)}
+
+
+def test_a_query_returns_proximity():
+    from corpusforge.llm import queries
+
+    assert "op8_proximity" in queries.QUERIES
+
+
 def test_decontaminated_keeps_clean_rows_and_columns(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     near = passage.replace("five", "5five")
