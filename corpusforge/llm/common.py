@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +26,18 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has, whatever its case: for an operator's own columns beside a caller's."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 

@@ -6,16 +6,18 @@ different documents get the same darts. A document keeps, for each coordinate of
 inside its elements' regions. Two documents agree in a coordinate with the probability of their weighted Jaccard
 similarity. Only about (ln t + c) darts for each of the t coordinates are thrown, whatever the number of elements.
 
-Documents whose words are the same are one node. Nodes that agree in all rows of a band meet. Within a band's
-bucket every node is compared with two hubs, which differ from band to band, so a bucket makes at most two pairs
-for each member. Agreement of signatures far from the threshold decides; pairs nearer to it are decided by the
-exact Jaccard similarity of their shingles where they would join two classes.
-
-Two hubs test every pair of a bucket of three. In larger buckets that still hold several classes all pairs of
-different classes are compared, in blocks and without being emitted: a block returns some edge-disjoint maximum
-spanning forests of its classes, so what it returns grows with its members, and those edges are decided as above.
-Where classes are still apart then, every pair of them whose signatures don't rule it out is decided by its exact
-similarity inside its block, which returns the joins alone. So no pair that shares a band is left untested.
+Documents whose words are the same are one node. Nodes that agree in all rows of a band meet in its bucket; buckets
+of one node go first, and a bit set keeps their nodes out of what follows. Then every node is compared with two hubs
+of each of its buckets: the most central one, which is the member that meets most others over all bands, and one
+more. So this makes two pairs for each member at most, and a copy that is near its original alone finds it, since
+the original is the most central. Agreement of signatures far from the threshold decides; pairs nearer to it are
+decided by their exact similarity where they would join two classes.
+
+Two hubs test every pair of a bucket of three. In larger buckets that still hold several classes, members outside
+the bucket's largest class are compared with all members of other classes, in cells of bounded size and without
+emitting pairs; a cell decides every pair that signatures leave open by its exact similarity and returns only the
+joins of classes. So no pair that shares a band is left untested, and the work is the product of a bucket's size and
+what lies outside its largest class, not the square of its size.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.bit_filter import bits_of, maybe_in
-from corpusforge.llm.common import by_chunks, only, text_or_empty
+from corpusforge.llm.common import by_chunks, fresh, only, text_or_empty
 from corpusforge.operators.graph import components
 from corpusforge.session import shared_folder
 
@@ -41,8 +43,8 @@ COORDINATES, BAND_ROWS = 192, 6
 SURE = 4.0
 #: Darts for each coordinate beyond ln t, and documents that throw together.
 EXTRA, TOGETHER = 3.0, 128
-#: Nodes of a bucket in one block, and spanning forests that a block returns.
-BLOCK, FORESTS = 1024, 6
+#: Members of a bucket that a cell holds on either side.
+CELL = 2048
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 300_000
 
@@ -98,7 +100,7 @@ class Shingler:
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray | None]], t: int = COORDINATES) -> list[np.ndarray | None]:
-    """DartMinHash signatures (t numbers of 16 bits) of weighted sets (elements, weights; None: all 1); None for an empty set."""
+    """DartMinHash signatures (t numbers of 8 bits) of weighted sets (elements, weights; None: all 1); None for an empty set."""
     out: list[np.ndarray | None] = [None] * len(sets)
     waiting = [i for i, (elements, _) in enumerate(sets) if len(elements)]
     spread = np.log(t) + EXTRA
@@ -148,9 +150,9 @@ def _throw(sets: list[tuple[np.ndarray, np.ndarray | None]], t: int, spread: flo
     darts = np.sort(np.concatenate(keys))
     place = darts >> np.uint64(47)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    table = np.zeros(len(sets) * t, np.uint16)
+    table = np.zeros(len(sets) * t, np.uint8)
     hit = np.zeros(len(sets) * t, bool)
-    table[place[first].astype(np.int64)] = (darts[first] & np.uint64(0xFFFF)).astype(np.uint16)
+    table[place[first].astype(np.int64)] = (darts[first] & np.uint64(0xFF)).astype(np.uint8)
     hit[place[first].astype(np.int64)] = True
     full = hit.reshape(len(sets), t).all(axis=1)
     return [row if ok else None for row, ok in zip(table.reshape(len(sets), t), full, strict=True)]
@@ -174,149 +176,108 @@ def signature_table(docs: DataFrame, weighted: bool, id_col: str, text_col: str)
     return source.mapInArrow(run, f"id {kind}, text_hash long, key binary, signature binary")
 
 
+def likeness(same: np.ndarray) -> np.ndarray:
+    """The similarity that rows of agreeing coordinates stand for; one in 256 agrees by chance."""
+    return (same.mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
 def _agreement(pairs: DataFrame) -> DataFrame:
-    """a, b and the share of coordinates in which their signatures sa and sb agree."""
+    """a, b and agree: the similarity by which their signatures sa and sb agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((sa == sb).mean(axis=1))], names=["a", "b", "agree"])
+                sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness(sa == sb))], names=["a", "b", "agree"])
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, agree double")
 
 
-def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(asked: DataFrame, places: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, elements and counts (the shingle hashes, rising, and how often each occurs) of the nodes ``asked``."""
-    places = nodes.join(asked, "node").select("node", F.col("rep.id").alias("p_id"), F.col("rep.text_hash").alias("p_hash"))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
-    held = texts.join(places, F.col("id").eqNullSafe(F.col("p_id")) & (F.xxhash64("text") == F.col("p_hash"))).select("node", "text")
+    wanted = places.join(asked, "node").select("node", F.col("rep.id").alias("p_id"), F.col("rep.text_hash").alias("p_hash")).checkpoint()
+    texts = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    texts = maybe_in(texts, bits_of(wanted, "p_hash"), "hash")
+    held = texts.join(wanted, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("hash") == F.col("p_hash"))).select("node", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             for part, chunk in by_chunks(batch, 1):
                 sets = shingler.shingles([words_of(t) for t in chunk])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array([n.tobytes() for _, n in sets], pa.binary())], names=["node", "elements", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in sets], pa.binary())], names=["node", "elements", "counts"])
 
     return held.mapInArrow(shingled, "node long, elements binary, counts binary").dropDuplicates(["node"]).checkpoint()
 
 
-def _exact(spark_pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, weighted: bool, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is at least ``similarity``."""
-    sets = _sets(spark_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, id_col, text_col)
+def _exact(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """The rows (a, b, la, lb) of ``pairs`` whose exact similarity is at least ``similarity``."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = []
-            for ea, ca, eb, cb in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
-                x, y, m, n = np.frombuffer(ea, np.uint64), np.frombuffer(eb, np.uint64), np.frombuffer(ca, np.int64), np.frombuffer(cb, np.int64)
+            near = []
+            for ea, ca, eb, cb in zip(*[batch.column(i).to_pylist() for i in range(4, 8)], strict=True):
+                x, y, m, n = np.frombuffer(ea, np.uint64), np.frombuffer(eb, np.uint64), np.frombuffer(ca, np.int32), np.frombuffer(cb, np.int32)
                 _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                 both, total = (np.minimum(m[i], n[j]).sum(), m.sum() + n.sum()) if weighted else (len(i), len(x) + len(y))
-                sims.append(float(both / (total - both)) if total else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+                near.append(both >= similarity * (total - both))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(near, pa.bool_()))
 
     one = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("counts").alias("ca"))
     two = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("counts").alias("cb"))
-    joined = spark_pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "ca", "eb", "cb")
-    return joined.mapInArrow(judged, "a long, b long, similarity double").where(F.col("similarity") >= similarity).select("a", "b")
-
-
-def spanning_edges(signatures_: np.ndarray, labels: np.ndarray, least: float, forests: int = FORESTS) -> list[tuple[int, int, float]]:
-    """(i, j, agreement) of edge-disjoint maximum spanning forests of the labels, over agreements of ``least`` or more.
-
-    Every class takes its best edge to another one, all at once, until none is left (Boruvka's steps).
-    """
-    n = len(labels)
-    agree = np.empty((n, n), np.float32)
-    for i in range(n):
-        agree[i] = (signatures_ == signatures_[i]).mean(axis=1)
-    agree[agree < least] = -1
-    agree[labels[:, None] == labels[None]] = -1
-    out: list[tuple[int, int, float]] = []
-    for _ in range(forests):
-        _, group = np.unique(labels, return_inverse=True)
-        taken: list[tuple[int, int]] = []
-        open_ = agree.copy()
-        while True:
-            best = open_.argmax(axis=1)
-            value = open_[np.arange(n), best]
-            order = np.lexsort((best, -value, group))
-            first = order[np.concatenate([[True], group[order][1:] != group[order][:-1]])]
-            joined = False
-            parent = {int(g): int(g) for g in np.unique(group)}
-
-            def find(g: int, parent: dict[int, int] = parent) -> int:
-                while parent[g] != g:
-                    g = parent[g]
-                return g
-
-            for i in first[value[first] >= least].tolist():
-                j = int(best[i])
-                x, y = find(int(group[i])), find(int(group[j]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    taken.append((i, j))
-                    joined = True
-            if not joined:
-                break
-            group = np.array([find(int(g)) for g in group])
-            open_[group[:, None] == group[None]] = -1
-        if not taken:
-            break
-        for i, j in taken:
-            out.append((i, j, float(agree[i, j])))
-            agree[i, j] = agree[j, i] = -1
-    return out
-
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb", "ea", "ca", "eb", "cb")
+    return joined.mapInArrow(judged, "a long, b long, la long, lb long")
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` with the label of each one's node; a node without one is its own."""
-    return rows.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
+def _labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """``rows`` with the label of each one's ``node``; a node without one is its own."""
+    named = labels.select(F.col("node").alias(node), F.col("label").alias(label))
+    return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
-def _crowded(banded: DataFrame, labels: DataFrame) -> DataFrame:
-    """number, band, node, label, blocks: the nodes of buckets of four or more that hold several classes."""
-    placed = _labelled(banded, labels)
-    open_ = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n >= 4").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).checkpoint()
-    return maybe_in(placed, bits_of(open_, "band"), "band").join(open_, "band").select("number", "band", "node", "label", "blocks").checkpoint()
 
-
-def _in_blocks(held: DataFrame) -> DataFrame:
-    """The nodes of ``held`` once for every two blocks (i, j) of their bucket one of which is their own."""
-    own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")
-    block_pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    return held.select("number", "band", "node", "label", own.alias("own"), F.explode(block_pairs).alias("p")).select("number", "band", "p.i", "p.j", "own", "node", "label")
-
-
-def _unsettled_edges(held: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """a, b, agree: edges between classes in the crowded buckets ``held``."""
-    rows = _in_blocks(held).select("band", "i", "j", "node", "label").join(signed, "node")
-
-    def run(group: pa.Table) -> pa.Table:
-        nodes, marks = group["node"].to_numpy(), group["label"].to_numpy()
-        sigs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(nodes), -1)
-        edges = spanning_edges(sigs, marks, least)
-        ends = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), v) for i, j, v in edges]
-        return pa.table({"a": pa.array([e[0] for e in ends], pa.int64()), "b": pa.array([e[1] for e in ends], pa.int64()), "agree": pa.array([e[2] for e in ends], pa.float64())})
-
-    found = rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long, agree double")
-    return found.groupBy("a", "b").agg(F.max("agree").alias("agree")).checkpoint()
+def _merged(labels: DataFrame, joins: DataFrame) -> DataFrame:
+    """node, label: ``labels`` with the labels that ``joins`` connects made one; a label may be a node without a row."""
+    merged = components(joins).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    moved = labels.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    alone = merged.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    return moved.unionByName(alone).checkpoint()
 
 
-def open_pairs(signatures_: np.ndarray, labels: np.ndarray, own: np.ndarray, across: bool, number: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, later rows j): pairs of two labels that agree in ``least`` or more and whose first common band is ``number``.
+def _cells(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """number, band, chunk, team, node, label, minor, visitor: the members of unsettled buckets, once for each cell.
 
-    ``across``: only pairs of two blocks. So a pair comes once, whatever number of bands and blocks it shares.
+    A bucket is unsettled if it holds four members or more of several classes. Its members are dealt to chunks of
+    about CELL as residents; those outside the largest class (``minor``) also to teams of about CELL, each of which
+    visits every chunk. A cell is a chunk and a team: its visitors are to be compared with its residents.
     """
-    for i in range(len(labels) - 1):
-        j = i + 1 + np.flatnonzero((labels[i + 1 :] != labels[i]) & ((own[i + 1 :] != own[i]) | (not across)))
+    placed = _labelled(members.where("n >= 4"), labels)
+    by_class = placed.groupBy("band", "label").agg(F.count("*").alias("c"))
+    open_ = by_class.groupBy("band").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("most")).where("most.c < size")
+    open_ = open_.select("band", F.col("most.label").alias("major"), F.ceil(F.col("size") / CELL).cast("int").alias("chunks"), F.ceil((F.col("size") - F.col("most.c")) / CELL).cast("int").alias("teams"))
+    held = placed.join(open_, "band").withColumn("minor", F.col("label") != F.col("major"))
+    home, team = F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(12)), F.col("teams")).cast("int")
+    stays = F.transform(F.sequence(F.lit(0), F.col("teams") - 1), lambda t: F.struct(F.col("home").alias("chunk"), t.alias("team")))
+    visits = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.col("own").alias("team")))
+    at = F.when(F.col("minor"), F.array_union(stays, visits)).otherwise(stays)
+    dealt = held.withColumns({"home": home, "own": team}).withColumn("at", F.explode(at))
+    visitor = F.col("minor") & (F.col("at.team") == F.col("own"))
+    return dealt.select("number", "band", "at.chunk", "at.team", "node", "label", "minor", visitor.alias("visitor"), (F.col("at.chunk") == F.col("home")).alias("resident"))
+
+
+def open_pairs(signatures_: np.ndarray, cell: dict[str, np.ndarray], number: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, j's): visitors i and residents j of another label that agree in ``least`` or more and whose first common
+    band is ``number``. Of two minor nodes the one with the lesser number visits. So a pair comes once, whatever
+    number of bands and cells it shares."""
+    label, node = cell["label"], cell["node"]
+    residents = np.flatnonzero(cell["resident"])
+    for i in np.flatnonzero(cell["visitor"]):
+        j = residents[(label[residents] != label[i]) & (~cell["minor"][residents] | (node[residents] > node[i]))]
         same = signatures_[j] == signatures_[i]
-        near = same.mean(axis=1) >= least
+        near = likeness(same) >= least
         j, same = j[near], same[near]
         first = same.reshape(len(j), signatures_.shape[1] // BAND_ROWS, BAND_ROWS).all(axis=2).argmax(axis=1)
         if (first == number).any():
-            yield i, j[first == number]
+            yield int(i), j[first == number]
 
 
 def true_joins(pairs: Iterator[tuple[int, np.ndarray]], elements: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -334,108 +295,108 @@ def true_joins(pairs: Iterator[tuple[int, np.ndarray]], elements: list[np.ndarra
         starts = np.cumsum([0, *(len(ids[k]) for k in j[:-1])])
         both = np.add.reduceat(np.minimum(mark[np.concatenate([ids[k] for k in j])], np.concatenate([counts[k] for k in j])), starts)
         mark[ids[i]] = 0
-        for k in j[both / (sizes[i] + sizes[j] - both) >= similarity].tolist():
+        for k in j[both >= similarity * (sizes[i] + sizes[j] - both)].tolist():
             if root[k] != root[i]:
                 out.append((int(labels[i]), int(labels[k])))
                 root[root == root[k]] = root[i]
     return out
 
 
-def _last_joins(held: DataFrame, labels: DataFrame, signed: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, similarity: float, weighted: bool, id_col: str, text_col: str) -> DataFrame:
-    """a, b: labels that truly similar pairs join, of all pairs of two classes in the crowded buckets ``held``.
+_CELL = ["number", "band", "chunk", "team", "node", "label", "minor", "visitor", "resident"]
+_CELL_SCHEMA = "number int, band long, chunk int, team int, node long, label long, minor boolean, visitor boolean, resident boolean"
+
+
+def _last_joins(cells: DataFrame, signed: DataFrame, docs: DataFrame, least: float, similarity: float, weighted: bool, id_col: str, text_col: str) -> DataFrame:
+    """a, b: labels that truly similar pairs join, of all pairs of two classes in ``cells``.
 
-    Every pair whose signatures agree in ``least`` or more is decided by its exact similarity inside a block, so
-    what leaves a block are joins of its classes. Sets of shingles are fetched only for nodes that have such a pair.
+    Sets of shingles are fetched only for nodes that signatures leave an open pair.
     """
-    placed = _labelled(held.drop("label"), labels)
-    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    rows = _in_blocks(placed.join(mixed, "band")).join(signed, "node")
 
     def pairs_of(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-        sigs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(group.num_rows, -1)
-        number, i, j = (group[c][0].as_py() for c in ("number", "i", "j"))
-        return open_pairs(sigs, group["label"].to_numpy(), group["own"].to_numpy(), i != j, number, least)
+        sigs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(group.num_rows, -1)
+        cell = {c: group[c].to_numpy() for c in _CELL[4:]}
+        return open_pairs(sigs, cell, group["number"][0].as_py(), least)
 
     def asking(group: pa.Table) -> pa.Table:
         hit = np.zeros(group.num_rows, bool)
         for i, j in pairs_of(group):
             hit[i] = hit[j] = True
-        return group.select(["number", "band", "i", "j", "own", "node", "label"]).filter(pa.array(hit))
+        return group.select(_CELL).filter(pa.array(hit))
 
     def joining(group: pa.Table) -> pa.Table:
         elements = [np.frombuffer(x, np.uint64) for x in group["elements"].to_pylist()]
-        counts = [np.frombuffer(x, np.int64) for x in group["counts"].to_pylist()] if weighted else [np.ones(len(e), np.int64) for e in elements]
+        counts = [np.frombuffer(x, np.int32) for x in group["counts"].to_pylist()] if weighted else [np.ones(len(e), np.int32) for e in elements]
         joins = true_joins(pairs_of(group), elements, counts, group["label"].to_numpy(), similarity)
         return pa.table({"a": pa.array([x for x, _ in joins], pa.int64()), "b": pa.array([y for _, y in joins], pa.int64())})
 
-    asked = rows.groupBy("band", "i", "j").applyInArrow(asking, "number int, band long, i int, j int, own int, node long, label long").checkpoint()
-    sets = _sets(asked.select("node").distinct(), nodes, docs, id_col, text_col)
-    return asked.join(signed, "node").join(sets if weighted else sets.drop("counts"), "node").groupBy("band", "i", "j").applyInArrow(joining, "a long, b long").distinct().checkpoint()
-
-
-def _merged(labels: DataFrame, joins: DataFrame) -> DataFrame:
-    """node, label: ``labels`` with the labels that ``joins`` connects made one; a label may be a node without a row."""
-    merged = components(joins).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    moved = labels.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    alone = merged.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
-    return moved.unionByName(alone)
+    place = ["band", "chunk", "team"]
+    asked = cells.join(signed.select("node", "signature"), "node").groupBy(*place).applyInArrow(asking, _CELL_SCHEMA).checkpoint()
+    sets = _sets(asked.select("node").distinct(), signed, docs, id_col, text_col)
+    return asked.join(signed.select("node", "signature"), "node").join(sets, "node").groupBy(*place).applyInArrow(joining, "a long, b long").distinct().checkpoint()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_hash, class_id (the least id of the row's class), class_rows, node_rows and keeps of every row.
 
     A class holds the documents that links of ``similarity`` or more connect; ``weighted`` counts how often a
-    shingle occurs, else each counts once. ``keeps`` is true for the rows of the class's first document by (id,
-    text hash); ``node_rows`` says how many rows repeat that very id and text, so one of them can be chosen. Texts
-    without words (null, empty, signs alone) have equal words and so are one class; texts of fewer than five words
-    are near only if their words are equal. Null ids are kept and come first; other columns are ignored.
+    shingle occurs (similarity is the sum of the lesser counts over that of the greater ones), else each counts
+    once. ``keeps`` is true for the rows of the class's first document by (id, text hash); ``node_rows`` says how
+    many rows repeat that very id and text, so one of them can be chosen.
+
+    Texts without words (null, empty, signs alone) have equal words and so are one class; texts of fewer than five
+    words are near only if their words are equal; a very long text is one set like any other and costs memory in
+    proportion to its words. Null ids are kept and come first; ties go to the lesser text hash; other columns are
+    ignored; an empty table gives none.
     """
     shared_folder(docs.sparkSession)
-    rows = signature_table(docs, weighted, id_col, text_col).checkpoint()  # about 0.5 kB for each row: the texts are read once
+    rows = signature_table(docs, weighted, id_col, text_col).checkpoint()  # about 0.3 kB for each row: the texts are read once
     place = F.struct("id", "text_hash")
-    nodes = rows.groupBy("key").agg(F.min(place).alias("rep"), F.any_value("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    nodes = rows.groupBy("key").agg(F.min(place).alias("rep"), F.any_value("signature").alias("signature"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
 
-    width = 2 * BAND_ROWS
-    bands = F.array(*[F.xxhash64(F.substring("signature", 1 + width * i, width), F.lit(i)) for i in range(COORDINATES // BAND_ROWS)])
+    bands = F.array(*[F.xxhash64(F.substring("signature", 1 + BAND_ROWS * i, BAND_ROWS), F.lit(i)) for i in range(COORDINATES // BAND_ROWS)])
     banded = nodes.where("signature is not null").select("node", F.posexplode(bands).alias("number", "band"))
-    order = F.xxhash64("node", "band")
-    hubs = banded.groupBy("band").agg(F.min_by("node", order).alias("low"), F.max_by("node", order).alias("high")).where("low <> high").checkpoint()
-    met = banded.join(hubs, "band").select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
+    members = maybe_in(banded, bits_of(shared, "band"), "band").join(shared, "band").checkpoint()
+    central = members.groupBy("node").agg(F.sum("n").alias("met"))
+    signed = nodes.select("node", "rep", "signature").join(central, "node").checkpoint()
+
+    hubs = members.join(signed.select("node", "met"), "node").groupBy("band").agg(F.max_by("node", F.struct("met", "node")).alias("hub"), F.min_by("node", F.xxhash64("node", F.lit(5))).alias("one"), F.max_by("node", F.xxhash64("node", F.lit(5))).alias("other"))
+    hubs = hubs.select("band", F.array("hub", F.when(F.col("one") != F.col("hub"), F.col("one")).otherwise(F.col("other"))).alias("hubs"))
+    met = members.join(hubs, "band").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
     pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    signed = nodes.select("node", "signature")
-    both = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(signed.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+    for end in ("a", "b"):
+        pairs = pairs.join(signed.select(F.col("node").alias(end), F.col("signature").alias(f"s{end}")), end)
     margin = SURE * (similarity * (1 - similarity) / COORDINATES) ** 0.5
-    agreed = _agreement(both).where(F.col("agree") >= similarity - margin).checkpoint()
-
-    sure = components(agreed.where(F.col("agree") >= similarity + margin).select("a", "b"))
-    held = _crowded(banded, sure)
-    crowded = _unsettled_edges(held, signed, similarity - margin)
-    more = crowded.where(F.col("agree") >= similarity + margin).select("a", "b")
-    sure = components(sure.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    agreed = _agreement(pairs).where(F.col("agree") >= similarity - margin).checkpoint()
 
+    labels = components(agreed.where(F.col("agree") >= similarity + margin).select("a", "b"))
     # Pairs that agreement leaves open count where they would join two classes, if they are truly similar.
-    apart = agreed.unionByName(crowded).where(F.col("agree") < similarity + margin).select("a", "b").distinct()
+    apart = agreed.where(F.col("agree") < similarity + margin).select("a", "b")
     for end in ("a", "b"):
-        apart = apart.join(sure.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+        apart = _labelled(apart, labels, end, f"l{end}")
     apart = apart.where("la <> lb").checkpoint()
-    true_links = _exact(apart.select("a", "b"), nodes, docs, similarity, weighted, id_col, text_col)
-    joins = apart.join(true_links, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    labels = _merged(sure, joins).checkpoint()
+    sets = _sets(apart.select(F.explode(F.array("a", "b")).alias("node")).distinct(), signed, docs, id_col, text_col)
+    joins = _exact(apart, sets, similarity, weighted).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    labels = _merged(labels, joins)
     # What is left of the crowded buckets: no pair of two classes stays untested.
-    last = _last_joins(held, labels, signed, nodes, docs, similarity - margin, similarity, weighted, id_col, text_col)
+    cells = _cells(members, labels).checkpoint()
+    last = _last_joins(cells, signed, docs, similarity - margin, similarity, weighted, id_col, text_col)
     labels = _merged(labels, last)
-    labelled = nodes.select("node", "key", "rep").join(labels, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("class")).checkpoint()
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    heads = labelled.join(counts, "key").groupBy("class").agg(F.min("rep").alias("head"), F.sum("n").alias("class_rows"))
-    by_key = labelled.select("key", "class").join(heads, "class").select("key", "head", "class_rows").checkpoint()
+
+    classed = _labelled(nodes.select("node", "key", "rep", "copies"), labels).checkpoint()
+    heads = classed.groupBy("label").agg(F.min("rep").alias("head"), F.sum("copies").alias("class_rows"))
+    by_key = classed.join(heads, "label").select("key", "head", "class_rows").checkpoint()
     same = rows.groupBy("key", "id", "text_hash").agg(F.count("*").alias("node_rows"))
     out = same.join(by_key, "key").select("id", "text_hash", F.col("head.id").alias("class_id"), "class_rows", "node_rows", place.eqNullSafe(F.col("head")).alias("keeps"))
-    return out.select(F.col("id").alias(id_col), "text_hash", "class_id", "class_rows", "node_rows", "keeps", F.explode(F.sequence(F.lit(1), F.col("node_rows").cast("int"))).alias("_copy")).drop("_copy")
-
-
-def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, with all its columns: the first by id, then by text hash; of rows that repeat both, any one."""
-    found = near_duplicates(docs, similarity, weighted, id_col, text_col).where("keeps").select(F.col(f"`{id_col}`").alias("_id"), F.col("text_hash").alias("_hash"), F.col("node_rows").alias("_rows")).distinct()
-    kept = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_hash")))
-    repeated = kept.where("_rows > 1").dropDuplicates(["_id", "_hash"])
-    return kept.where("_rows = 1").unionByName(repeated).drop("_id", "_hash", "_rows")
+    return out.select(F.col("id").alias(id_col), "text_hash", "class_id", "class_rows", "node_rows", "keeps", F.explode(F.sequence(F.lit(1), F.col("node_rows").cast("int"))).alias("copy")).drop("copy")
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, with all its columns: the first by id, then by text hash; of rows that repeat both, any
+    one. Nulls, empty and very long texts and empty tables as in ``near_duplicates``; any column names will do."""
+    own_id, own_hash, own_rows = fresh(docs.columns, "class_id", "class_hash", "class_rows")
+    found = near_duplicates(docs, similarity, weighted, id_col, text_col).where("keeps").select(F.col(f"`{id_col}`").alias(own_id), F.col("text_hash").alias(own_hash), F.col("node_rows").alias(own_rows)).distinct().checkpoint()
+    (hash_,) = fresh([*docs.columns, own_id, own_hash, own_rows], "hash")
+    kept = docs.withColumn(hash_, F.xxhash64(text_or_empty(text_col))).join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(hash_) == F.col(own_hash)))
+    repeated = kept.where(F.col(own_rows) > 1).dropDuplicates([own_id, own_hash])
+    return kept.where(F.col(own_rows) == 1).unionByName(repeated).drop(own_id, own_hash, own_rows, hash_)

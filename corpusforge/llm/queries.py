@@ -90,10 +90,11 @@ kept AS (SELECT l1.doc_id, array_to_string(coalesce(list(l1.line ORDER BY l1.lin
 FROM l1 LEFT JOIN gone ON l1.doc_id = gone.doc_id AND l1.line_no = gone.line_no GROUP BY l1.doc_id)
 SELECT doc_id, n_lines, n_gone, n_near, sha256(t) AS kept_sha256 FROM kept"""
 
-#: Exact similarity of the sets of five words in a row, and the components of what is at 0.8 or more.
+#: Exact weighted similarity of the shingles of five words in a row with their counts, and the components of what is
+#: at 0.8 or more.
 _OP6 = r"""WITH RECURSIVE w0 AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), n AS (SELECT w, min(doc_id) AS id, count(*) AS copies FROM w0 GROUP BY w),
-s AS (SELECT id, list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM n WHERE len(w) > 0), e AS (SELECT id, len(s) AS n, unnest(s) AS h FROM s),
-c AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS i FROM e x JOIN e y ON x.h = y.h AND x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) GROUP BY ALL),
+s AS (SELECT id, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS h, greatest(len(w) - 4, 1) AS n FROM n WHERE len(w) > 0), e AS (SELECT id, n, h, count(*) AS c FROM s GROUP BY ALL),
+c AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, sum(least(x.c, y.c)) AS i FROM e x JOIN e y ON x.h = y.h AND x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) GROUP BY ALL),
 links AS (SELECT a, b FROM c WHERE i >= 0.8 * (na + nb - i) UNION SELECT b, a FROM c WHERE i >= 0.8 * (na + nb - i)),
 reach AS (SELECT id AS node, id AS seen FROM n UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.seen = links.a), label AS (SELECT node, min(seen) AS class_id FROM reach GROUP BY node),
 sizes AS (SELECT class_id, sum(copies)::BIGINT AS class_rows FROM label JOIN n ON node = id GROUP BY class_id)

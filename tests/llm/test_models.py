@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -95,7 +96,7 @@ def test_signatures_estimate_jaccard(weighted):
         w = rng.integers(1, 7, 250) if weighted else None
         x, y = dart_minhash.signatures([(a, w), (b, w)])
         same, total = (w[k:].sum(), w.sum()) if weighted else (250 - k, 250)
-        errors.append((x == y).mean() - same / (2 * total - same))
+        errors.append(dart_minhash.likeness(x == y) - same / (2 * total - same))
     assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.05
     assert dart_minhash.signatures([(np.zeros(0, np.uint64), None)]) == [None]
 
@@ -104,7 +105,7 @@ def brute_classes(texts, similarity=0.8):
     sets = []
     for t in texts:
         w = dart_minhash.words_of(t or "")
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
     parent = list(range(len(texts)))
 
     def find(i):
@@ -114,7 +115,8 @@ def brute_classes(texts, similarity=0.8):
 
     for i in range(len(texts)):
         for j in range(i):
-            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+            both = (sets[i] & sets[j]).total() if sets[i].keys() & sets[j].keys() else 0
+            if both >= similarity * (sets[i].total() + sets[j].total() - both):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return [find(i) for i in range(len(texts))]
@@ -138,6 +140,8 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in got if r["keeps"]) == sorted(set(want))
     kept = dart_minhash.deduplicated(d)
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    odd = d.withColumns({c: F.lit(1) for c in ("class_hash", "Class_rows", "hash", "_id", "_hash", "_rows", "band", "key", "label", "p", "bits", "maybe")})
+    assert dart_minhash.deduplicated(odd).columns == odd.columns and dart_minhash.deduplicated(odd).count() == len(set(want))
 
 
 def test_copies_that_are_near_their_original_alone(spark):
@@ -150,16 +154,6 @@ def test_copies_that_are_near_their_original_alone(spark):
     assert {r["class_id"] for r in dart_minhash.near_duplicates(d).collect()} == {0}
 
 
-def test_spanning_edges_are_disjoint_forests():
-    rng = np.random.default_rng(3)
-    sigs = rng.integers(0, 3, (30, 192)).astype(np.uint16)
-    labels = np.array([i // 3 for i in range(30)])
-    edges = dart_minhash.spanning_edges(sigs, labels, 0.0, forests=2)
-    assert len({(min(i, j), max(i, j)) for i, j, _ in edges}) == len(edges) == 2 * 9
-    assert all(labels[i] != labels[j] and v == pytest.approx((sigs[i] == sigs[j]).mean()) for i, j, v in edges)
-    assert dart_minhash.spanning_edges(sigs, labels, 0.99) == []
-
-
 def test_true_links_among_many_near_misses(spark):
     rng = random.Random(1)
     texts = []
@@ -172,17 +166,60 @@ def test_true_links_among_many_near_misses(spark):
     assert {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(d).collect()} == dict(enumerate(brute_classes(texts)))
 
 
-def test_open_pairs_come_once_over_bands_and_blocks():
+def test_open_pairs_come_once_over_bands_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "CELL", 1)
     rng = np.random.default_rng(5)
-    sigs, labels, own = rng.integers(0, 2, (40, 192)).astype(np.uint16), np.arange(40) // 2, np.arange(40) % 3
+    sigs, labels = rng.integers(0, 2, (40, 192)).astype(np.uint8), np.minimum(np.arange(40) // 2, 9)
+    bands = [(i, k, int("".join(map(str, s[6 * k : 6 * k + 6])), 2) + 64 * k) for i, s in enumerate(sigs) for k in range(32)]
+    members = spark.createDataFrame(bands, "node long, number int, band long").withColumn("n", F.lit(4))
+    cells = dart_minhash._cells(members, spark.createDataFrame(list(enumerate(labels.tolist())), "node long, label long"))
     found = []
-    for number in range(32):
-        for i in range(3):
-            for j in range(i, 3):
-                at = np.flatnonzero((own == i) | (own == j))
-                found += [(at[a], at[b]) for a, bs in dart_minhash.open_pairs(sigs[at], labels[at], own[at], i != j, number, 0.5) for b in bs]
-    shared = {(a, b) for a in range(40) for b in range(a + 1, 40) if labels[a] != labels[b] and (sigs[a] == sigs[b]).mean() >= 0.5 and (sigs[a] == sigs[b]).reshape(32, 6).all(axis=1).any()}
-    assert shared <= set(found) and len(found) == len(set(found))
+    for _, c in cells.toPandas().groupby(["band", "chunk", "team"]):
+        cell = {k: c[k].to_numpy() for k in ("node", "label", "minor", "visitor", "resident")}
+        for i, js in dart_minhash.open_pairs(sigs[cell["node"]], cell, int(c["number"].iloc[0]), 0.5):
+            found += [tuple(sorted((cell["node"][i], cell["node"][j]))) for j in js]
+    same = [(sigs[a] == sigs[b]) for a in range(40) for b in range(a + 1, 40)]
+    pairs = [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    shared = {p for p, s in zip(pairs, same, strict=True) if labels[p[0]] != labels[p[1]] and dart_minhash.likeness(s) >= 0.5 and s.reshape(32, 6).all(axis=1).any()}
+    assert shared == set(found) and len(found) == len(set(found)) and cells.select("chunk", "team").distinct().count() > 4
+
+
+def test_a_crowded_bucket_of_3000(spark):
+    """A star of 3,000 copies, two chains beside it and decoys of another one: classes as brute force by sets of places."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+
+    def changed(w, k):
+        w = list(w)
+        for p in rng.sample(range(len(w)), k):
+            w[p] = f"n{rng.randrange(10**9)}"
+        return w
+
+    texts = [" ".join(changed(base, 2)) for _ in range(3000)] + [" ".join(base)]
+    chain = changed(base, 5)
+    for _ in range(12):
+        texts.append(" ".join(chain))
+        chain = changed(chain, 1)
+    grams = [frozenset(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    held, ids = {}, {}
+    for k, g in enumerate(grams):
+        for x in g:
+            held.setdefault(ids.setdefault(x, len(ids)), []).append(k)
+    m = np.zeros((len(texts), len(ids)), np.float32)
+    for x, ks in held.items():
+        m[ks, x] = 1
+    m = m[:, m.sum(axis=0) > 1]
+    both, size = m @ m.T, np.array([len(g) for g in grams])
+    near = both >= 0.8 * (size[:, None] + size[None] - both) - 1e-4
+    label = np.arange(len(texts))
+    while True:
+        least = np.where(near, label[None], len(texts)).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(d).collect()}
+    assert got == dict(enumerate(label.tolist()))
 
 
 def test_near_duplicates_with_repeated_rows_and_null_ids(spark):
