@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.session import workers_import
+from corpusforge.session import shared_folder, workers_import
 
 #: Characters of text that one inner step of a Python operator holds at a time.
 CHUNK_CHARS = 1 << 20
@@ -65,6 +66,21 @@ def _slice(batch: pa.RecordBatch, column: int, start: int, stop: int) -> tuple[p
     return part, [x or "" for x in part.column(column).to_pylist()]
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written to the shared folder and read back, and what removes it; columns of it are read alone, and it is
+    smaller than a checkpoint."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+
+    def drop() -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(folder), drop
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable[[list[str]], dict[str, list]], schema: str) -> DataFrame:
     """One output row for each input row, without a shuffle: the id, and the columns ``work`` makes of the texts.
 
