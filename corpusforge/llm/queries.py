@@ -45,11 +45,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
-
-
-def op8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of the method: the columns of op8_decontaminate, then n_near."""
+    """Exact windows and, as a further column n_near, proximity matches."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -71,19 +67,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_dart_minhash": op6_dart_minhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
-    "op8_proximity": op8_proximity,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
 }
 
 # DuckDB SQL -----------------------------------------------------------------------
 
-#: Lines of five words or more, the first place of each, and for those of ten or more the keys of their
+#: Lines that aren't blank, the first place of each, and for those of five words or more the keys of their
 #: neighbourhoods: the words left when one goes with its place, and all words with each place for one more.
 _OP2 = """WITH l0 AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS l FROM documents), l1 AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM l0),
-l2 AS (SELECT * FROM (SELECT *, string_split(line, ' ') AS w FROM l1) WHERE len(w) >= 5),
+l2 AS (SELECT * FROM (SELECT *, string_split(line, ' ') AS w FROM l1) WHERE trim(line) <> ''),
 f AS (SELECT line, any_value(w) AS w, min((doc_id, line_no)) AS first FROM l2 GROUP BY line),
-k AS (SELECT line, first, unnest(list_concat(list_transform(range(len(w)), lambda i: hash(list_concat(w[:i], w[i + 2:]), i)), list_transform(range(len(w) + 1), lambda i: hash(w, i)))) AS key FROM f WHERE len(w) >= 10),
+k AS (SELECT line, first, unnest(list_concat(list_transform(range(len(w)), lambda i: hash(list_concat(w[:i], w[i + 2:]), i)), list_transform(range(len(w) + 1), lambda i: hash(w, i)))) AS key FROM f WHERE len(w) >= 5),
 g AS (SELECT key, min(first) AS lead FROM k GROUP BY key HAVING count(*) > 1), near AS (SELECT DISTINCT line FROM k JOIN g USING (key) WHERE lead < first),
 gone AS (SELECT l2.doc_id, l2.line_no, near.line IS NOT NULL AS near FROM l2 JOIN f ON l2.line = f.line LEFT JOIN near ON l2.line = near.line WHERE near.line IS NOT NULL OR (l2.doc_id, l2.line_no) <> f.first),
 kept AS (SELECT l1.doc_id, array_to_string(coalesce(list(l1.line ORDER BY l1.line_no) FILTER (WHERE gone.line_no IS NULL), []), chr(10)) AS t, count(*) AS n_lines, count(gone.line_no) AS n_gone, count_if(coalesce(near, FALSE)) AS n_near
@@ -105,8 +100,12 @@ b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDE
 bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(greatest(len(w) - 9, 1)), lambda i: w[i + 1:i + 10])) AS g FROM b WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM bw), dw AS (SELECT doc_id, n, unnest(range(len(w) - n + 1)) AS p0, w FROM d, sizes WHERE len(w) >= n),
 hit AS (SELECT doc_id, p0, bw.n AS n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.w[p0 + 1:p0 + dw.n] = bw.g),
-inside AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(p0, p0 + n)) AS p FROM hit) GROUP BY doc_id), which AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM hit GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN inside ON d.doc_id = inside.doc_id LEFT JOIN which ON d.doc_id = which.doc_id"""
+inside AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(p0, p0 + n)) AS p FROM hit) GROUP BY doc_id), which AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM hit GROUP BY doc_id),
+dt AS (SELECT doc_id, p, w[p + 1:p + 3] AS t FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS p FROM d)), wt AS (SELECT DISTINCT g, o, g[o + 1:o + 3] AS t FROM bw, (SELECT unnest([0, 3, 6]) AS o) WHERE n = 10),
+met AS (SELECT DISTINCT doc_id, p - o AS p0, g FROM dt JOIN wt USING (t) WHERE p >= o),
+near AS (SELECT DISTINCT doc_id, p0 FROM met JOIN d USING (doc_id) WHERE len(list_filter(range(1, 11), lambda i: coalesce(w[p0 + i] = g[i], FALSE))) BETWEEN 8 AND 9),
+nears AS (SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, p0 FROM near EXCEPT SELECT doc_id, p0 FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near FROM d LEFT JOIN inside ON d.doc_id = inside.doc_id LEFT JOIN which ON d.doc_id = which.doc_id LEFT JOIN nears ON d.doc_id = nears.doc_id"""
 
 #: For the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": _OP2, "op6_dart_minhash": _OP6, "op8_decontaminate": _OP8}

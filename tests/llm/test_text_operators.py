@@ -178,9 +178,9 @@ def brute_contamination(texts, items, size=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
 def test_contamination_equals_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", broadcast)
     rng = random.Random(9)
     vocabulary = ["the", "The", "é", "É", "straße", "STRASSE", "a1", "b2", "c", "d`e", "f"]
     items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 3, 10, 14])))) for k in range(12)] + [(None, "only this one"), (3, None), (3, "x y z")]
@@ -217,12 +217,6 @@ def test_proximity_equals_brute_force(spark):
     assert {r["doc_id"]: r["n_near"] for r in got} == {i: places(t) for i, t in enumerate(texts)}
 
 
-def test_a_query_returns_proximity():
-    from corpusforge.llm import queries
-
-    assert "op8_proximity" in queries.QUERIES
-
-
 def test_decontaminated_keeps_clean_rows_and_columns(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     near = passage.replace("five", "5five")
@@ -231,6 +225,12 @@ def test_decontaminated_keeps_clean_rows_and_columns(spark):
     assert [r["doc_id"] for r in decontaminate.decontaminated(d, items).orderBy("doc_id").collect()] == [None, 2, 3]
     assert decontaminate.contamination(d, items.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(d.limit(0), items).count() == 0
+    shared = spark.createDataFrame([(1, passage), (1, "clean"), (1, "clean")], "doc_id long, text string")
+    assert rows(decontaminate.decontaminated(shared, items)) == [(1, "clean"), (1, "clean")]
+    odd = d.withColumns({c: F.lit(1) for c in ("_bad", "bad_id", "Bad_hash", "hash", "w", "term", "id", "at", "window_no")})
+    assert decontaminate.decontaminated(odd, items).columns == odd.columns and decontaminate.decontaminated(odd, items).count() == 3
+    long = spark.createDataFrame([(1, "word " * 200_000 + passage)], "doc_id long, text string")
+    assert decontaminate.contamination(long, items).first()["n_hit"] == 11
     assert decontaminate.contamination(d, items).where("doc_id = 3").first()["n_near"] > 0
 
 
@@ -240,14 +240,14 @@ def within_one(a, b):
     return abs(len(a) - len(b)) <= 1 and p + s >= max(len(a), len(b)) - 1
 
 
-def brute_lines(data, hashes, least=5, fuzzy=10):
+def brute_lines(data, hashes, fuzzy=5):
     """(id, text) -> (kept text, gone, near) by comparing each line with all earlier ones."""
     seen, near, out = {}, {}, {}
     for key in sorted({r for r in data if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):
         kept, gone, gone_near = [], 0, 0
         for line in key[1].split("\n"):
             w = tuple(line.split(" "))
-            if len(w) < least:
+            if not line.strip(' '):
                 kept.append(line)
                 continue
             old = w in seen
@@ -266,7 +266,7 @@ def brute_lines(data, hashes, least=5, fuzzy=10):
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(6)
     v = [f"w{i}" for i in range(5)]
-    lines = [" ".join(rng.choices(v, k=rng.randint(3, 14))) for _ in range(40)]
+    lines = [" ".join(rng.choices(v, k=rng.randint(1, 20))) for _ in range(60)] + ["", "  "]
 
     def changed(line):
         w = line.split(" ")
@@ -282,3 +282,6 @@ def test_line_dedup_equals_brute_force(spark):
     got = Counter((r["doc_id"], r["text"], r["lines_gone"], r["lines_near"]) for r in line_dedup.dedup_lines(d).collect())
     assert got == want
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
+    odd = d.withColumns({c: F.lit(1) for c in ("_gone", "_near", "_p", "_id", "_hash", "gone", "Near", "of_id", "hash", "loses", "p", "bits", "piece", "maybe")})
+    assert sorted(line_dedup.dedup_lines(odd).columns) == sorted([*odd.columns, "lines_near"])
+    assert Counter((r["doc_id"], r["text"], r["lines_gone"], r["lines_near"]) for r in line_dedup.dedup_lines(odd).collect()) == want
