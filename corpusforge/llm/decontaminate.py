@@ -157,13 +157,16 @@ def _marked(rows: DataFrame, wanted: DataFrame, size: int, near: int) -> DataFra
     # The texts that have a place, and their places' words.
     hashed = rows.withColumn("hash", _hash("text"))
     held = maybe_in(hashed, bits_of(asked, "text_hash"), "hash").distinct().join(asked.withColumnRenamed("id", "a_id"), F.col("id").eqNullSafe(F.col("a_id")) & (F.col("hash") == F.col("text_hash")))
-    cut = held.select("id", "text_hash", words(lowered(F.col("text"))).alias("w"), "asked")
 
-    def agreeing(x: Column) -> Column:
-        own = F.slice("w", x["at"] + 1, x["n"])
+    def agreeing(w: Column, x: Column) -> Column:
+        own = F.slice(w, x["at"] + 1, x["n"])
         return F.size(F.filter(F.zip_with(own, x["window"], lambda p, q: p.eqNullSafe(q)), lambda same: same))
 
-    told = cut.select("id", "text_hash", F.transform("asked", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["items"].alias("items"), agreeing(x).alias("same"))).alias("told"))
+    def compared(w: Column) -> Column:
+        return F.transform("asked", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["items"].alias("items"), agreeing(w, x).alias("same")))
+
+    # The array of one binds the words to a name, so a text is cut once and not for each place.
+    told = held.select("id", "text_hash", F.transform(F.array(words(lowered(F.col("text")))), compared)[0].alias("told")).checkpoint()
     hits = F.filter("told", lambda x: x["same"] == x["n"])
     nears = F.filter("told", lambda x: (x["n"] == size) & (x["same"] >= near) & (x["same"] < size))
     split = told.select("id", "text_hash", hits.alias("hits"), F.array_distinct(F.transform(nears, lambda x: x["at"])).alias("nears"))
