@@ -1,8 +1,10 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton over folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and full-width forms to Latin ones, and digits and
-signs that stand for letters inside words to those letters. The lexicon holds whole words and word beginnings
-with weights; exception phrases and exception words take back the hits they cover. A word counts with its
+Folding lower-cases, decomposes letters (accents, full-width and mathematical forms) and drops marks and invisible
+format characters, maps look-alike letters of other scripts to Latin ones, and digits and signs that stand for
+letters to those letters in words that have a letter. The lexicon holds whole words and word beginnings
+with weights; exception phrases take back the hits they cover: some everyday ones, and those learned, which are
+pairs of neighbouring words that hold an entry but stand in clean texts. A word counts with its
 heaviest entry. The score is a logistic function of the hits' weight, also by the text's length in words, so a
 single hit in a long text counts for less.
 
@@ -13,10 +15,13 @@ of each group of near copies counts, so copies of one text can't make its rare w
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from math import exp, log1p
+from unicodedata import normalize
 
 import ahocorasick
 import numpy as np
@@ -37,26 +42,28 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 EXCEPTION_PHRASES = ("trash can", "trash bin", "class clown", "clown fish", "stupid question")
 #: Labelled rows to learn from, about; all of them if there are fewer.
 SAMPLE_ROWS = 16_000
-#: Entries that a lexicon has at most, and texts of the sample that an entry must have been in.
-LEXICON_ENTRIES, LEAST_TEXTS = 2_000, 6
+#: Texts of the sample that an entry or a learned exception must have been in. The sample's rows and the letters of
+#: beginnings and words bound the lexicon.
+LEAST_TEXTS = 6
 PREFIX_CHARS = range(3, 13)
-WORD_CHARS = 24
+WORD_CHARS = 48
 
-_FOLD = {ord(c): w for c, w in LOOKALIKES.items()} | {ord(c.upper()): w for c, w in LOOKALIKES.items() if len(c.upper()) == 1} | {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
+_FOLD = {ord(c): w for c, w in LOOKALIKES.items()} | {ord(c.upper()): w for c, w in LOOKALIKES.items() if len(c.upper()) == 1}
 _SUBSTITUTE = str.maketrans(SUBSTITUTES)
-_WITH_SIGNS = regex.compile(r"[\p{L}\p{M}0-9@$]*(?:[0-9@$](?=\p{L}))[\p{L}\p{M}0-9@$]*")
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
-_ODD = regex.compile("[" + "".join(map(chr, _FOLD)) + "]")
-_SIGN = regex.compile(r"[0-9@$](?=\p{L})")
+_RUN = regex.compile(r"(?<![\p{L}0-9@$])\p{L}*+[0-9@$][\p{L}0-9@$]*+")  # begins at a run's beginning alone: linear
+_LETTER = regex.compile(r"\p{L}")
+_WORD = regex.compile(r"\p{L}+")
+_UNSEEN = regex.compile(r"[\p{M}\p{Cf}]+")
+_SIGN = regex.compile(r"[0-9@$]\p{L}|\p{L}[0-9@$]")
 
 
 def fold(text: str) -> str:
     """The folded text: words of lower-case letters, each after one space, and a space at the end."""
-    if not text.isascii() and _ODD.search(text):
-        text = text.translate(_FOLD)
+    if not text.isascii():
+        text = _UNSEEN.sub("", normalize("NFKD", text)).translate(_FOLD)
     text = text.lower()
     if _SIGN.search(text):
-        text = _WITH_SIGNS.sub(lambda m: m[0].translate(_SUBSTITUTE), text)
+        text = _RUN.sub(lambda m: m[0].translate(_SUBSTITUTE) if _LETTER.search(m[0]) else m[0], text)
     text = text.replace("l", "i")  # one sign for l, i and 1, which stand for each other
     return f" {' '.join(_WORD.findall(text))} "
 
@@ -101,9 +108,9 @@ class Matcher:
             elif weight > best.get(start, 0.0):
                 best[start] = weight
         if spared and best:
-            for a, b in set(spared):
-                for start in [s for s in best if a <= s < b]:
-                    del best[start]
+            reach = np.maximum.accumulate([b for _, b in sorted(spared)])
+            begins = sorted(a for a, _ in spared)
+            best = {s: w for s, w in best.items() if not (k := bisect_right(begins, s)) or reach[k - 1] <= s}
         total = sum(best.values())
         return total, 100 * total / words, len(best)
 
@@ -138,17 +145,24 @@ def _copy_key(words: list[str]) -> int:
     return min(xxhash.xxh64_intdigest(g) for g in grams) >> 1
 
 
-def _candidates(words: set[str]) -> set[str]:
+def _candidates(words: list[str]) -> set[str]:
+    """Possible entries of a folded text: its words and their beginnings."""
     out = set()
-    for w in words:
+    for w in set(words):
         if len(w) <= WORD_CHARS:
             out.add(f" {w} ")
         out.update(f" {w[:n]}" for n in PREFIX_CHARS if n <= len(w))
     return out
 
 
-def _evidence(sample: DataFrame) -> DataFrame:
-    """For each candidate entry, in how many toxic and other texts of the sample it is; one text of each group of near copies."""
+def _pairs_with_hits(model: Model, words: list[str]) -> set[str]:
+    """Possible exceptions of a folded text: neighbouring words of which one starts with an entry."""
+    hit = [any(f" {w} "[:n] in model.weights for n in range(2, len(w) + 3)) for w in words]
+    return {f" {a} {b} " for a, b, x, y in zip(words, words[1:], hit, hit[1:]) if (x or y) and len(a) + len(b) <= WORD_CHARS}
+
+
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """folded and label of one text of each group of near copies."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,17 +170,21 @@ def _evidence(sample: DataFrame) -> DataFrame:
                 folded = [fold(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array([_copy_key(f.split()) for f in folded], pa.int64()), pa.array(folded), part.column(1).cast(pa.int32())], names=["key", "folded", "label"])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return sample.mapInArrow(keyed, "key long, folded string, label int").groupBy("key").agg(F.min_by("folded", F.xxhash64("folded")).alias("folded"), F.max("label").alias("label")).select("folded", "label")
+
+
+def _counted(once: DataFrame, entries_of: Callable[[list[str]], set[str]]) -> DataFrame:
+    """entry, toxic, clean: in how many toxic and other texts of ``once`` each entry is that ``entries_of`` names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, clean = Counter(), Counter()
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (toxic if label else clean).update(_candidates(set(text.split())))
+                (toxic if label else clean).update(entries_of(text.split()))
             for side, n in ((toxic, 1), (clean, 0)):
                 yield pa.RecordBatch.from_arrays([pa.array(list(side), pa.string()), pa.array([c * n for c in side.values()], pa.int64()), pa.array([c * (1 - n) for c in side.values()], pa.int64())], names=["entry", "toxic", "clean"])
 
-    once = sample.mapInArrow(keyed, "key long, folded string, label int").groupBy("key").agg(F.min_by("folded", F.xxhash64("folded")).alias("folded"), F.max("label").alias("label"))
-    counts = once.select("folded", "label").mapInArrow(counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    return counts
+    return once.mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", phrases: tuple[str, ...] = EXCEPTION_PHRASES) -> Model:
@@ -180,9 +198,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         if not n_toxic or not n_clean:
             return Model()
         odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-        scored = _evidence(sample).withColumn("weight", odds).where((F.col("toxic") >= LEAST_TEXTS) & (F.col("weight") > 1.0)).orderBy(F.desc("weight"), "entry").limit(LEXICON_ENTRIES)
-        found = {r["entry"]: (r["weight"], r["toxic"], r["clean"]) for r in scored.collect()}
-        model = Model({e: found[e][0] for e in _telling(found)}, [f" {fold(p).strip()} " for p in phrases])
+        once = _one_of_copies(sample).persist()
+        scored = _counted(once, _candidates).withColumn("weight", odds).where((F.col("toxic") >= LEAST_TEXTS) & (F.col("weight") > 1.0))
+        found = {r["entry"]: (r["weight"], r["toxic"], r["clean"]) for r in scored.collect()}  # what the sample's toxic texts share
+        model = Model({e: found[e][0] for e in sorted(_telling(found))}, [f" {fold(p).strip()} " for p in phrases])
+        spared = _counted(once, partial(_pairs_with_hits, model)).withColumn("weight", odds).where((F.col("clean") >= LEAST_TEXTS) & (F.col("weight") < -1.0))
+        model.exceptions += sorted(r["entry"] for r in spared.select("entry").collect())
+        once.unpersist()
         features = sample.select("text", "label").mapInArrow(_feature_rows(model), "total double, rate double, label int")
         x = np.array([tuple(r) for r in features.collect()])  # at most about ``rows`` rows of three numbers
         model.coefficients = _logistic(np.column_stack([np.ones(len(x)), np.log1p(x[:, 0]), np.log1p(x[:, 1])]), x[:, 2])
@@ -230,10 +252,11 @@ _matchers: dict[str, Matcher] = {}
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted (1 if score >= 0.5), hits of every row.
 
-    A null or empty text has no hit and the lowest score of the model; a null id is treated as the empty id when
-    the fold is told; repeated rows give repeated results; other columns are ignored. A scan and one map.
+    A null or empty text has no hit and the lowest score of the model; a very long one is matched whole; a null id is
+    treated as the empty id when the fold is told; repeated rows give repeated results; other columns are ignored; an
+    empty table gives an empty one. A scan and one map.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.dumps(), model))  # bounded by LEXICON_ENTRIES
+    shared = docs.sparkSession.sparkContext.broadcast((model.dumps(), model))  # bounded by the sample
 
     def work(texts: list[str]) -> dict[str, pa.Array]:
         key, own = shared.value
@@ -249,7 +272,8 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, with all their columns; null and empty texts stay."""
+    """The rows of ``docs`` that score under ``threshold``, with all their columns, whatever their names; null and empty
+    texts stay, repeated rows stay or go together."""
     workers_import(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.dumps(), model))
     at = docs.columns.index(text_col)
