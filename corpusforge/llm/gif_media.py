@@ -1,9 +1,10 @@
 """GIF as a media column: lossless storage of bytes, and decoding into timed frames with colour histograms.
 
 ``read_gif`` takes any GIF89a or GIF87a: global and local palettes, interlacing, transparency, the disposal
-methods 0 to 3, LZW streams of any minimum code size, with deferred clear codes. ``write_gif`` stores frames of
-8-bit samples. ``payload_media`` uses both: a text's bytes, padded, become rows of 64 samples under the identity
-palette, are stored as a GIF, and everything returned comes from the stored bytes read back.
+methods 0 to 3, LZW streams of any minimum code size, with deferred clear codes. ``shown`` lays the frames on the
+canvas as a viewer would. ``write_gif`` stores frames of 8-bit samples. ``payload_media`` uses all of them: a text's
+bytes, padded, become rows of 64 samples under a palette of 256 colours, are stored as a GIF, and everything returned
+comes from the stored bytes read back: digests from the samples, timed frames and features from the canvas.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusforge.llm.common import map_texts, only
 
@@ -27,6 +27,8 @@ WIDTH = 64
 FRAME_ROWS = 4096
 #: Hundredths of a second that a payload's frame stands.
 DELAY = 10
+#: Pixels of a canvas or a frame at most: four bytes each on show. Larger media are reported as unreadable.
+MOST_PIXELS = 1 << 24
 MAX_CODES = 4096
 
 
@@ -227,6 +229,8 @@ def _read(data: bytes) -> tuple[int, int, list[Frame]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("no GIF header")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise GifError(f"a canvas of {width} x {height}")
     at, shared, frames = 13, None, []
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
@@ -245,6 +249,8 @@ def _read(data: bytes) -> tuple[int, int, list[Frame]]:
         elif kind == 0x2C:
             left, top, cols, rows, bits = struct.unpack_from("<HHHHB", data, at)
             at += 9
+            if rows * cols > MOST_PIXELS:
+                raise GifError(f"a frame of {cols} x {rows}")
             palette = shared
             if bits & 0x80:
                 palette, at = _palette(data, at, bits)
@@ -313,29 +319,41 @@ def histogram(canvas: np.ndarray) -> list[int]:
     return np.bincount(bins.ravel(), minlength=65).tolist()
 
 
+FRAMES = pa.list_(pa.struct([("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
+FRAMES_SCHEMA = "array<struct<frame: int, start_cs: bigint, delay_cs: int, histogram: array<bigint>>>"
+
+
+def timed_frames(width: int, height: int, frames: list[Frame]) -> list[dict[str, object]]:
+    """frame, start_cs, delay_cs (hundredths of a second) and histogram of each frame as it is on show."""
+    out: list[dict[str, object]] = []
+    start = 0
+    for k, (delay, canvas) in enumerate(shown(width, height, frames)):
+        out.append({"frame": k, "start_cs": start, "delay_cs": delay, "histogram": histogram(canvas)})
+        start += delay
+    return out
+
+
 def gif_frames(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """Timed frames of a binary column: id, frame, start_cs (hundredths of a second), delay_cs, histogram, error.
+    """Timed frames of a binary column: id, frame, start_cs, delay_cs (hundredths of a second), histogram, error.
 
-    Null or unreadable media give one row with frame -1 and the reason in ``error``; a GIF without frames gives
-    none. Repeated rows give repeated frames. Other columns are ignored.
+    Null, empty or unreadable media, and those of more than MOST_PIXELS, give one row with frame -1 and the reason in
+    ``error``; a GIF without frames gives none. Repeated rows give repeated frames; other columns are ignored; an
+    empty table gives an empty one.
     """
     source = only(media, id_col, media_col)
+    names = ("frame", "start_cs", "delay_cs", "histogram", "error")
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = []
                 try:
-                    start = 0
-                    for k, (delay, canvas) in enumerate(shown(*read_gif(batch.column(1)[i].as_py() or b""))):
-                        rows.append((k, start, delay, histogram(canvas), None))
-                        start += delay
+                    rows = timed_frames(*read_gif(batch.column(1)[i].as_py() or b""))
                 except GifError as e:
-                    rows = [(-1, 0, 0, [], str(e))]
+                    rows = [{"frame": -1, "start_cs": 0, "delay_cs": 0, "histogram": [], "error": str(e)}]
                 if rows:
                     ids = pa.array([batch.column(0)[i].as_py()] * len(rows), batch.column(0).type)
-                    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string())
-                    yield pa.RecordBatch.from_arrays([ids, *map(pa.array, zip(*rows, strict=True), kinds)], names=[id_col, "frame", "start_cs", "delay_cs", "histogram", "error"])
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)]], names=[id_col, *names])
 
     kind = source.schema[0].dataType.simpleString()
     return source.mapInArrow(run, f"`{id_col}` {kind}, frame int, start_cs long, delay_cs int, histogram array<long>, error string")
@@ -344,27 +362,31 @@ def gif_frames(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 # Payloads ------------------------------------------------------------------------
 
 GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+#: Sample i as a colour: three bits of red, three of green, two of blue.
+COLOURS = np.stack([(np.arange(256) >> 5) * 255 // 7, (np.arange(256) >> 2 & 7) * 255 // 7, (np.arange(256) & 3) * 85], axis=1).astype(np.uint8)
 
 
 def store_payload(payload: bytes) -> bytes:
-    """A payload of whole rows as a GIF: sample i has the grey i, frames follow one another."""
+    """A payload of whole rows as a GIF: sample i has colour i; each frame is cleared before the next."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    frames = [Frame(0, 0, rows[i : i + FRAME_ROWS], GREYS, DELAY, disposal=1) for i in range(0, len(rows), FRAME_ROWS)]
+    frames = [Frame(0, 0, rows[i : i + FRAME_ROWS], COLOURS, DELAY, disposal=2) for i in range(0, len(rows), FRAME_ROWS)]
     return write_gif(frames, WIDTH, min(len(rows), FRAME_ROWS))
 
 
-def _feature(frames: list[Frame]) -> str:
-    """Frames, their time, and the samples by 16 greys, over all frames."""
-    counts = sum((np.bincount(f.samples.ravel(), minlength=256) for f in frames), np.zeros(256, np.int64))
-    return f"frames={len(frames)};cs={sum(f.delay for f in frames)};grey16=" + ",".join(map(str, counts.reshape(16, 16).sum(axis=1)))
+def _feature(frames: list[dict[str, object]]) -> str:
+    """Frames, their time, and opaque pixels by 64 colours over all of them."""
+    counts = np.sum([f["histogram"] for f in frames], axis=0)[:64]
+    return f"frames={len(frames)};cs={sum(f['delay_cs'] for f in frames)};rgb64=" + ",".join(map(str, counts.tolist()))
 
 
 def payload_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
-    """id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every row;
-    with ``keep_media`` also the GIF as ``media``.
+    """id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and frames of every
+    row; with ``keep_media`` also the GIF as ``media``. ``frames`` lists frame, start_cs, delay_cs and the histogram of
+    its 64 colours and clear pixels.
 
-    A null text is the empty one, whose payload is 64 bytes 0; equal texts give equal values; repeated rows
-    give repeated results; other columns are ignored. One scan and one map, no shuffle.
+    A null text is the empty one, whose payload is 64 bytes 0; a very long one runs over several frames; equal texts
+    give equal values; null ids are kept; repeated rows give repeated results; other columns are ignored; an empty
+    table gives an empty one. One scan and one map, no shuffle.
     """
 
     def work(texts: list[str]) -> dict[str, pa.Array]:
@@ -372,25 +394,29 @@ def payload_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for text in texts:
             raw = text.encode("utf-8")
             media = store_payload(raw.ljust(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH), b"\0"))
-            _, _, frames = read_gif(media)
+            width, height, frames = read_gif(media)
             back = b"".join(f.samples.tobytes() for f in frames)
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), _feature(frames), media if keep_media else None))
-        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media")
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+            timed = timed_frames(width, height, frames)
+            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), _feature(timed), timed, media if keep_media else None))
+        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "media")
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), FRAMES, pa.binary())
         made = {n: pa.array(v, k) for n, k, v in zip(names, kinds, zip(*rows, strict=True), strict=True)}
         return made if keep_media else {n: v for n, v in made.items() if n != "media"}
 
-    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames {FRAMES_SCHEMA}"
     return map_texts(docs, id_col, text_col, work, schema + ", media binary" * keep_media)
 
 
 def payload_text(media: DataFrame, id_col: str, media_col: str, length_col: str) -> DataFrame:
     """The texts back from stored payloads: id and text (null where the media is null)."""
+    source = only(media, id_col, media_col, length_col)
 
-    @F.udf("string")
-    def back(data: bytes | None, n: int | None) -> str | None:
-        if data is None:
-            return None
-        return b"".join(f.samples.tobytes() for f in read_gif(bytes(data))[2])[: n or 0].decode("utf-8")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for data, n in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                stored = data.as_py()
+                texts.append(None if stored is None else b"".join(f.samples.tobytes() for f in read_gif(stored)[2])[: n or 0].decode("utf-8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return only(media, id_col, media_col, length_col).select(F.col(f"`{id_col}`"), back(F.col(f"`{media_col}`"), F.col(f"`{length_col}`")).alias("text"))
+    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, text string")
