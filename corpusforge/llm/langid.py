@@ -111,7 +111,7 @@ def page_evidence(pages: DataFrame, model: TrigramModel, id_col: str, url_col: s
     shared = pages.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
     source = only(pages, id_col, url_col, html_col).toDF("id", "url", "html")
     kind = source.schema[0].dataType.simpleString()
-    rows = source.select("id", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias("host"), F.lower(F.regexp_extract(F.substring(F.coalesce("html", F.lit("")), 1, 1 << 16), _DECLARED, 1)).alias("declared"), F.col("html"))
+    rows = source.select("id", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias("host"), F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), _DECLARED, 1)).alias("declared"), F.col("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
