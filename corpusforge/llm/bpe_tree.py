@@ -154,7 +154,8 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     """id, n_tokens, ids_sha256 (of little-endian 32-bit ids) and decoded_sha256 of every row; with
     ``keep_ids`` also the ids themselves as ``token_ids``.
 
-    A null text is the empty one (0 tokens, digests of no bytes); null ids stay; repeated rows give repeated
+    A null text is the empty one (0 tokens, digests of no bytes); a very long one is a deeper tree; null ids stay; an
+    empty table gives an empty one; repeated rows give repeated
     results; other columns of ``docs`` are ignored. ``path`` must be readable on every executor. A scan and one
     map: nothing is shuffled, and a lost executor costs its running tasks alone.
     """

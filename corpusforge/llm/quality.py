@@ -160,8 +160,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 def quality(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score (0 to 1) and predicted (1 if score >= threshold) of every row.
 
-    A null text is the empty one, whose statistics are all 0; a null id is treated as the empty id when the fold
-    is told; repeated rows give repeated results; other columns are ignored.
+    A null text is the empty one, whose statistics are all 0; a very long one is measured whole; a null id is treated
+    as the empty id when the fold is told; repeated rows give repeated results; equal raw scores give equal scores;
+    other columns are ignored; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

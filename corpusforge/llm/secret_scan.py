@@ -78,9 +78,9 @@ def secret_spans(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", te
 def secret_scan(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans and n_linked (weak spans reported) of every row.
 
-    A null or empty text has no spans (the digest is that of no bytes); null ids are kept and matched as such;
-    repeated rows give repeated results; spans that start together stand in the kinds' order; other columns are
-    ignored.
+    A null or empty text has no spans (the digest is that of no bytes); a very long one is scanned whole; null ids are
+    kept and matched as such; repeated rows give repeated results; spans that start together stand in the kinds'
+    order; other columns are ignored; an empty table gives an empty one.
     """
     spans = secret_spans(docs, reach, id_col, text_col)
     names = F.array(*[F.lit(k) for k in KINDS])
