@@ -18,10 +18,11 @@ class LanguageProfile:
 
 LATIN = LanguageProfile()
 
-#: Russian, for the phonetic rules of verse: vowels, and what an unstressed or final sound becomes (fixed values).
+#: Russian, for the phonetic rules of verse: vowels, and what a sound after the stress, a stressed one or a final one
+#: becomes (fixed values).
 RUSSIAN_VOWELS = "аеёиоуыэюя"
-RUSSIAN_UNSTRESSED = ("оеяё", "аииё")
-RUSSIAN_STRESSED = ("ёюяеэ", "оуаээ")
+RUSSIAN_UNSTRESSED = ("оеяэюыё", "аиииуио")
+RUSSIAN_STRESSED = ("яюеёы", "ауэои")
 RUSSIAN_DEVOICED = ("бвгджз", "пфктшс")
 
 

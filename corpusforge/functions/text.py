@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,18 +98,18 @@ def consonants(text: Text, profile: LanguageProfile = LATIN) -> Column:
     return F.regexp_replace(F.lower(_c(text)), f"[{profile.vowels}]", "")
 
 
-def phonetic(word: Text, stress: Text) -> Column:
-    """A Russian word as it sounds, about: vowels reduced before and after the stressed one (1-based place),
-    the last consonant without voice, reflexive endings and clusters simplified, no signs, no doubled letters."""
-    w, at = F.lower(_c(word)), _c(stress)
-    before = F.translate(F.substring(w, F.lit(1), at - 1), *RUSSIAN_UNSTRESSED)
-    here = F.translate(F.substring(w, at, F.lit(1)), *RUSSIAN_STRESSED)
-    after = F.translate(F.substring(w, at + 1, F.length(w)), *RUSSIAN_UNSTRESSED)
-    out = F.concat(before, here, after)
-    for pattern, put in ((r"т?ь?ся$", "ца"), (r"сч", "щ"), (r"[ъь]", "")):
-        out = F.regexp_replace(out, pattern, put)
-    out = F.concat(F.substring(out, F.lit(1), F.length(out) - 1), F.translate(F.right(out, F.lit(1)), *RUSSIAN_DEVOICED))
-    return F.regexp_replace(out, r"(.)\1", "$1")
+def phonetic(tail: Text) -> Column:
+    """What a Russian line's end sounds like, from its stressed vowel on: clusters of reflexive endings and signs
+    simplified, the vowel as it is heard under stress, later ones reduced, the last consonant without voice, no
+    doubled letters after the vowel."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(_c(tail), r"т?ь?ся$", "ца"), "сч", "щ"), "[ъь]", "")
+
+    def sound(t: Column) -> Column:
+        rest = F.translate(F.substring(t, F.lit(2), F.length(t)), *RUSSIAN_UNSTRESSED)
+        last = bound(rest, lambda r: F.concat(F.left(r, F.length(r) - 1), F.translate(F.right(r, F.lit(1)), *RUSSIAN_DEVOICED)))
+        return F.concat(F.translate(F.left(t, F.lit(1)), *RUSSIAN_STRESSED), F.regexp_replace(F.when(F.length(t) > 1, last).otherwise(""), r"(.)\1", "$1"))
+
+    return bound(plain, sound)
 
 
 def russian_syllables(line: Text) -> Column:
@@ -115,27 +118,62 @@ def russian_syllables(line: Text) -> Column:
 
 # HTML, URLs, ids -------------------------------------------------------------------
 
-_ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Names and numbers of characters, without the ampersand: the standard's named ones, and numbers of the C1 range,
+#: which browsers read as Windows-1252.
+_NAMED = {**html5, **{f"#{n};": bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}, "#0;": "\ufffd"}
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
+
+#: What an element does to the text: its content goes, it ends a line, it parts paragraphs. Other tags leave nothing.
+DROPPED = ("script", "style", "ins", "noscript")
+BREAKS = ("br",)
+BLOCKS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "blockquote")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def unescape(html: Text) -> Column:
-    """The usual entities as characters; the ampersand last, so nothing is unescaped twice."""
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ENTITIES, _c(html))
+    """Character references as characters, each once: named ones, before other than letters also without their semicolon where the standard
+    allows it, decimal and hexadecimal numbers; unknown ones stay."""
+    names = F.from_json(F.lit(json.dumps(_NAMED)), "map<string, string>")
+
+    def character(part: Column) -> Column:
+        body = F.regexp_replace(F.substring(part, F.lit(2), F.length(part)), ";$", "")
+        number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10)).when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body))).cast("int")
+        told = F.coalesce(F.try_element_at(names, F.when(number.isNotNull(), F.concat(F.lit("#"), number.cast("string"), F.lit(";"))).otherwise(F.substring(part, F.lit(2), F.length(part)))))
+        valid = (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        coded = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.coalesce(told, F.when(number.isNotNull(), coded), part)
+
+    parts = F.regexp_extract_all(_c(html), F.lit(rf"{_REFERENCE}|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(_c(html), F.lit("&")), F.array_join(F.transform(parts, lambda x: F.when(x.startswith("&") & (F.length(x) > 2), character(x)).otherwise(x)), "")).otherwise(_c(html))
 
 
 def html_to_text(html: Text) -> Column:
-    """Readable text of HTML: scripts, styles and the like go, breaks are kept, block ends part paragraphs, the
-    indent that all lines share goes, and at most one empty line stays between paragraphs."""
-    t = F.regexp_replace(_c(html), r"(?is)<(script|style|ins|noscript)\b.*?</\1\s*>", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), r"[\r\n]+", " ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)</?(p|div|h[1-6]|li|ul|ol|table|tr|blockquote|article|section)\b[^>]*>", "\n\n")
-    t = F.replace(unescape(F.regexp_replace(t, r"<[^>]*>", "")), F.lit(" "), F.lit(" "))
-    t = F.regexp_replace(t, r"[ \t]+(?=\n|$)", "")
-    indents = F.transform(F.filter(lines(t), lambda x: x != ""), lambda x: F.length(x) - F.length(F.ltrim(x)))
-    least = F.coalesce(F.array_min(indents), F.lit(0))
-    cut = F.transform(F.array(F.struct(lines(t).alias("l"), least.alias("n"))), lambda s: F.array_join(F.transform(s["l"], lambda x: F.substring(x, s["n"] + 1, F.length(x))), "\n"))
-    return F.regexp_replace(F.regexp_replace(cut[0], r"\n{3,}", "\n\n"), r"^\s*\n|\s+$", "")
+    """Readable text of HTML by the rules of DROPPED, BREAKS and BLOCKS: line ends of the source are spaces, no-break
+    spaces are plain ones, the indent that all lines share goes, lines end without white space, and at most one empty
+    line stays between paragraphs."""
+    kept = F.regexp_replace(_c(html), rf"(?is)<({'|'.join(DROPPED)})\b.*?</\1\s*>", "")
+    pieces = F.regexp_extract_all(kept, F.lit(r"(?s)<!--.*?-->|<[^>]+>|[^<]+|<"), F.lit(0))
+
+    def written(piece: Column) -> Column:
+        tag = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][A-Za-z0-9]*)\b[^>]*>$", 1))
+        is_tag = piece.startswith("<") & (F.length(piece) > 1)
+        return F.when(is_tag & tag.isin(*BREAKS) & ~piece.startswith("</"), "\n").when(is_tag & tag.isin(*BLOCKS), "\n\n").when(is_tag, "").otherwise(F.regexp_replace(piece, r"\r?\n", " "))
+
+    plain = F.translate(unescape(F.array_join(F.transform(pieces, written), "")), "\u00a0\r", " ")
+    cut = F.transform(lines(plain), lambda x: F.regexp_replace(x, r"\s+$", ""))
+
+    def dedented(rows: Column) -> Column:
+        return bound(F.struct(rows.alias("rows"), F.array_min(F.transform(F.filter(rows, lambda x: x != ""), _indent)).alias("least")), lambda s: F.array_join(F.transform(s["rows"], lambda x: F.substring(x, s["least"] + 1, F.length(x))), "\n"))
+
+    return F.regexp_replace(F.regexp_replace(F.coalesce(bound(cut, dedented), F.when(_c(html).isNotNull(), "")), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def _indent(line: Column) -> Column:
+    return F.length(line) - F.length(F.regexp_replace(line, r"^[ \t]+", ""))
 
 
 def link_share(html: Text) -> Column:
@@ -149,7 +187,7 @@ def link_share(html: Text) -> Column:
 
 def tag_text(html: Text, tag: str) -> Column:
     """Text of a tag's first occurrence; '' if there is none."""
-    return squeezed(unescape(F.regexp_replace(F.regexp_extract(_c(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), r"<[^>]*>", " ")))
+    return squeezed(unescape(F.regexp_replace(F.regexp_extract(_c(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), r"<[^>]*>", " ")))
 
 
 def path_segments(url: Text) -> Column:

@@ -94,9 +94,11 @@ def first_mapping(rows: DataFrame, mapping: DataFrame, key: str, order: str) ->
     return rows.join(once, key, "left")
 
 
-def footnotes(docs: DataFrame, notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the notes a text refers to as [n], each once, in the order of their first mention; notes has id, ref, note."""
-    refs = docs.select(F.col(id_col), F.posexplode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(r"\[(\d+)\]"), F.lit(1)))).alias("at", "ref"))
+def footnotes(docs: DataFrame, notes: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = None) -> DataFrame:
+    """id and the notes a text (after its label, if a column is named) refers to as [n], each once, in the order of
+    their first mention; notes has id, ref, note."""
+    whole = F.concat_ws("\n", label_col, text_col) if label_col else F.col(text_col)
+    refs = docs.select(F.col(id_col), F.posexplode(F.array_distinct(F.regexp_extract_all(whole, F.lit(r"\[(\d+)\]"), F.lit(1)))).alias("at", "ref"))
     found = refs.join(notes, [id_col, "ref"])
     ordered = F.array_sort(F.collect_list(F.struct("at", "ref", "note")))
     return found.groupBy(id_col).agg(F.transform(ordered, lambda x: F.struct(x["ref"].alias("ref"), x["note"].alias("note"))).alias("notes"))
@@ -206,14 +208,14 @@ def is_service_title(title: X.Text, prefixes: list[str], exact: str = "COMMENTAR
 
 
 def repaired_title(title: X.Text, text: X.Text) -> Column:
-    """Asterisks as a title become the quoted first line, without marks at its end."""
-    first = F.regexp_replace(F.trim(F.try_element_at(X.full_lines(text), F.lit(1))), r"[\p{P}\s]+$", "")
-    return F.when(X._c(title).rlike(r"^[*\s]+$") & first.isNotNull(), F.concat(F.lit('"'), first, F.lit('"'))).otherwise(X._c(title))
+    """Asterisks as a title become the quoted first line, without marks at its end and with an ellipsis."""
+    first = F.regexp_replace(X.squeezed(F.try_element_at(X.full_lines(text), F.lit(1))), "[,.;:—-]+$", "")
+    return F.when(X._c(title).rlike(r"^[*\s]+$") & first.isNotNull(), F.concat(F.lit('"'), first, F.lit('..."'))).otherwise(X._c(title))
 
 
 def group_of(parents: Column, collection: str) -> Column:
-    """The last ancestor that is neither the collection's title nor a year."""
-    return F.try_element_at(F.filter(parents, lambda p: (p != collection) & ~p.rlike(r"^[0-9]{4}$")), F.lit(-1))
+    """The last ancestor that neither begins with the collection's title nor is a year of the 19th or 20th century."""
+    return F.try_element_at(F.filter(parents, lambda p: ~p.startswith(collection) & ~p.rlike("^1[89][0-9]{2}$")), F.lit(-1))
 
 
 # Themes and excerpts ---------------------------------------------------------------

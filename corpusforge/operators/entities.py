@@ -55,16 +55,50 @@ def kinds(voted: DataFrame, lexicon_place: DataFrame, person: float = 0.3, place
     return j.select("word", "n", "person", "prep", kind.alias("kind"))
 
 
-def drop_parts(tokens: DataFrame, part: list[str], first_names: DataFrame, least: int = 2) -> DataFrame:
-    """Name tokens without first names that stand before another capitalised word; then words left fewer than ``least``
-    times go."""
+def kinds_by_tags(voted: DataFrame, proper: DataFrame, excluded: list[str] | None = None, fixed: dict[str, str] | None = None) -> DataFrame:
+    """lemma, n, person, prep (votes), kind of names with grammatical tags: columns lemma, vote, grammemes (array) for
+    each occurrence, and lemma, capitalised (share of places with a capital) for each lemma.
+
+    ``excluded`` lemmas have no kind and ``fixed`` ones that kind. A place name is a place unless neighbours make it a
+    person twice, in 5 % of its places and more often than prepositions make it a place. What may be both is a person
+    by 30 % of the neighbours, else a place by 25 % of the prepositions, else a person. A personal name is a person.
+    Other words are persons by two neighbours and 15 %, places by half of three places or more after prepositions, if
+    90 % are capitalised.
+    """
+    place, personal = F.array_contains("grammemes", "Geox"), F.arrays_overlap("grammemes", F.array(*map(F.lit, ("Name", "Surn", "Patr"))))
+    of = voted.groupBy("lemma").agg(F.count("*").alias("n"), F.count_if(F.col("vote") == "person").alias("person"), F.count_if(F.col("vote") == "prep").alias("prep"), F.coalesce(F.bool_or(place), F.lit(False)).alias("place"), F.coalesce(F.bool_or(personal), F.lit(False)).alias("personal"))
+    j = of.join(proper.select("lemma", "capitalised"), "lemma", "left")
+    n, person, prep = F.col("n"), F.col("person"), F.col("prep")
+    kind = (
+        F.when(F.col("place") & ~F.col("personal"), F.when((person >= 2) & (person >= 0.05 * n) & (person > prep), "person").otherwise("place"))
+        .when(F.col("place"), F.when(person >= 0.3 * n, "person").when(prep >= 0.25 * n, "place").otherwise("person"))
+        .when(F.col("personal"), "person")
+        .when((person >= 2) & (person >= 0.15 * n), "person")
+        .when((prep >= 0.5 * n) & (n >= 3) & (F.col("capitalised") >= 0.9), "place")
+    )
+    for lemma, value in (fixed or {}).items():
+        kind = F.when(F.col("lemma") == lemma, value).otherwise(kind)
+    return j.select("lemma", "n", "person", "prep", F.when(~F.col("lemma").isin(excluded or [""]), kind).alias("kind"))
+
+
+def drop_parts(occ: DataFrame, part: list[str], least: int = 2) -> DataFrame:
+    """Name tokens less the parts of a longer name: a first name (and no surname) right before a person's word that is
+    no patronymic, and a patronymic right after a person's first name. Persons left in fewer than ``least`` places lose
+    their kind. occ: part, pos, lemma, kind, grammemes (array) of capitalised words."""
     order = Window.partitionBy(*part).orderBy("pos")
-    following = F.lead("word").over(order)
-    firsts = first_names.select(F.col("word").alias("_w")).distinct().withColumn("_first", F.lit(True))
-    marked = tokens.withColumn("_next", following).join(firsts, F.lower("word") == F.col("_w"), "left")
-    kept = marked.where(~(F.coalesce("_first", F.lit(False)) & F.coalesce(F.col("_next").rlike(r"^\p{Lu}"), F.lit(False)))).drop("_next", "_w", "_first")
-    n = kept.groupBy(F.lower("word").alias("_w")).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    return kept.join(n, F.lower("word") == F.col("_w")).drop("_w", "_n")
+    sides = occ.withColumns({f"_{side}": move(F.struct("pos", "kind", "grammemes")).over(order) for side, move in (("next", F.lead), ("last", F.lag))})
+
+    def tagged(column: str, tag: str) -> Column:
+        return F.coalesce(F.array_contains(column, tag), F.lit(False))
+
+    def beside(side: str, step: int) -> Column:
+        return F.coalesce((F.col(f"_{side}.pos") == F.col("pos") + step) & (F.col(f"_{side}.kind") == "person"), F.lit(False))
+
+    first = tagged("grammemes", "Name") & ~tagged("grammemes", "Surn") & beside("next", 1) & ~tagged("_next.grammemes", "Patr")
+    patronymic = tagged("grammemes", "Patr") & beside("last", -1) & tagged("_last.grammemes", "Name")
+    kept = sides.where(~((F.coalesce("kind", F.lit("")) == "person") & (first | patronymic))).drop("_next", "_last")
+    n = F.count("*").over(Window.partitionBy("lemma"))
+    return kept.withColumn("kind", F.when((F.col("kind") != "person") | (n >= least), F.col("kind")))
 
 
 def with_alias(rows: DataFrame, aliases: DataFrame, column: str = "word") -> DataFrame:
@@ -74,15 +108,24 @@ def with_alias(rows: DataFrame, aliases: DataFrame, column: str = "word") -> Dat
 
 
 def display_forms(tokens: DataFrame, lemma: str = "lemma", share: float = 0.25) -> DataFrame:
-    """lemma, display: among the forms that are at least ``share`` as frequent as the commonest, the lemma's own form,
-    else the shortest (ties: the more frequent, then in order)."""
-    forms = tokens.groupBy(lemma, "word").agg(F.count("*").alias("n"))
-    top = F.max("n").over(Window.partitionBy(lemma))
-    near = forms.withColumn("_top", top).where(F.col("n") >= share * F.col("_top"))
-    pick = F.struct((F.lower("word") != F.col(lemma)).alias("other"), F.length("word").alias("len"), (-F.col("n")).alias("m"), "word")
+    """lemma, display: the lemma's own form if it occurs; else of the forms that are at least ``share`` as frequent as
+    the commonest the most frequent nominative (column nominative, if there is one), else the shortest (ties: the more
+    frequent, then in order)."""
+    nominative = F.bool_or("nominative") if "nominative" in tokens.columns else F.lit(False)
+    forms = tokens.groupBy(lemma, "word").agg(F.count("*").alias("n"), nominative.alias("nom"))
+    own = F.lower("word") == F.col(lemma)
+    near = forms.withColumn("_top", F.max("n").over(Window.partitionBy(lemma))).where(own | (F.col("n") >= share * F.col("_top")))
+    pick = F.struct((~own).alias("other"), (~F.coalesce("nom", F.lit(False))).alias("oblique"), F.when(F.col("nom") & ~own, 0).otherwise(F.length("word")).alias("len"), (-F.col("n")).alias("m"), "word")
     return near.groupBy(lemma).agg(F.min(pick).alias("p")).select(lemma, F.col("p.word").alias("display"))
 
 
+def pair_surfaces(pairs: DataFrame, keys: list[str], surface: str = "surface") -> DataFrame:
+    """keys, surface, n: the commonest way in which each pair is written (ties: the first in order)."""
+    from corpusforge.operators.stats import modal
+
+    return modal(pairs, keys, surface)
+
+
 def entity_stats(occ: DataFrame, group: str, groups: list, doc: str, year: str | None = None) -> DataFrame:
     """word, n, texts, first and last year, and a count for each group."""
     extra = [F.min(year).alias("first_year"), F.max(year).alias("last_year")] if year else []
@@ -93,11 +136,13 @@ def entity_stats(occ: DataFrame, group: str, groups: list, doc: str, year: str |
 def co_mention(occ: DataFrame, scope: list[str], least: int = 1) -> DataFrame:
     """src, dst, w: in how many scopes (blocks, texts) two words stand together; each pair once.
 
-    Words are few in a scope (entities of a block); a scope's pairs grow with the square of that number.
+    A scope's words are gathered once and paired in their list. They are few (names of a block or text); a scope's
+    pairs grow with the square of that number, so use blocks where texts are long.
     """
-    once = occ.select(*scope, "word").distinct()
-    one, two = once.withColumnRenamed("word", "src"), once.withColumnRenamed("word", "dst")
-    return one.join(two, scope).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w")).where(F.col("w") >= least)
+    gathered = occ.groupBy(*scope).agg(F.array_sort(F.collect_set("word")).alias("words")).where(F.size("words") > 1)
+    later = gathered.select("words", F.posexplode("words").alias("at", "src"))
+    pairs = later.select("src", F.explode(F.slice("words", F.col("at") + 2, F.greatest(F.size("words") - F.col("at") - 1, F.lit(0)))).alias("dst"))
+    return pairs.groupBy("src", "dst").agg(F.count("*").alias("w")).where(F.col("w") >= least)
 
 
 def network_core(stats: DataFrame, least: int = 3, top: int = 120) -> DataFrame:
@@ -123,13 +168,15 @@ def shelves(tokens: DataFrame, lexicon: DataFrame, group: str | None = None) ->
     return counts.rollup(*([group] if group else []), "category", "shelf", "word").agg(F.sum("c").alias("n"))
 
 
-def epithets(annotated: DataFrame, part: list[str], adjective: str = "ADJF", noun: str = "NOUN") -> DataFrame:
-    """adjective, noun, n: neighbouring pairs that agree in case, number and gender (gender counts in the singular)."""
+def epithets(annotated: DataFrame, part: list[str], adjective: str = "ADJF", noun: str = "NOUN", idioms: list[tuple[str, str]] | None = None) -> DataFrame:
+    """adjective, noun, n: neighbouring pairs that agree in case, number and gender (gender counts in the singular), less
+    the pairs of lemmas that are ``idioms``."""
     order = Window.partitionBy(*part).orderBy("pos")
     nxt = {c: F.lead(c).over(order) for c in ("lemma", "tag", "case", "number", "gender")}
     pairs = annotated.withColumns({f"n_{c}": v for c, v in nxt.items()}).where((F.col("tag") == adjective) & (F.col("n_tag") == noun))
     agree = (F.col("case") == F.col("n_case")) & (F.col("number") == F.col("n_number")) & ((F.col("number") == "plur") | F.col("gender").eqNullSafe(F.col("n_gender")))
-    return pairs.where(agree).groupBy(F.col("lemma").alias("adjective"), F.col("n_lemma").alias("noun")).agg(F.count("*").alias("n"))
+    idiom = F.struct("lemma", "n_lemma").isin([F.struct(F.lit(a), F.lit(b)) for a, b in idioms]) if idioms else F.lit(False)
+    return pairs.where(agree & ~idiom).groupBy(F.col("lemma").alias("adjective"), F.col("n_lemma").alias("noun")).agg(F.count("*").alias("n"))
 
 
 def genitive_pairs(annotated: DataFrame, line: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +100,72 @@ def label_propagation(edges: DataFrame, sweeps: int = 30) -> DataFrame:
     return labels.select("node", "label")
 
 
+#: Edges of a graph that is labelled or drawn node by node on the driver, at most.
+SMALL_EDGES = 50_000
+
+
+def _small(edges: DataFrame) -> list[tuple]:
+    rows = edges.select("src", "dst", "w").limit(SMALL_EDGES + 1).collect()
+    if len(rows) > SMALL_EDGES:
+        raise ValueError(f"more than {SMALL_EDGES} edges; take a network's core first, or label_propagation")
+    return sorted((r["src"], r["dst"], r["w"]) for r in rows)
+
+
+def family_labels(edges: DataFrame, sweeps: int = 30) -> DataFrame:
+    """node, label of a small graph: nodes in turn, the strongest first (ties in order), take the heaviest label around
+    them (ties: the least), and those after them see it at once, until nothing changes or ``sweeps`` are over. The
+    result depends on the turns, so it is made on the driver, for networks as they are shown."""
+    around: dict = {}
+    for a, b, w in _small(undirected(edges)):
+        around.setdefault(a, []).append((b, w))
+        around.setdefault(b, []).append((a, w))
+    turns = sorted(around, key=lambda x: (-sum(w for _, w in around[x]), x))
+    label = {x: x for x in around}
+    for _ in range(sweeps):
+        before = dict(label)
+        for x in turns:
+            votes: dict = {}
+            for y, w in around[x]:
+                votes[label[y]] = votes.get(label[y], 0) + w
+            label[x] = min(votes, key=lambda k: (-votes[k], k))
+        if label == before:
+            break
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame(sorted(label.items()), f"node {kind}, label {kind}")
+
+
+def chord_arcs(edges: DataFrame, clusters: DataFrame, gap: float = 0.03) -> DataFrame:
+    """node, cluster, strength, start, stop: the nodes' arcs around a circle from its top, in radians, as wide as their
+    strength (1 at least); clusters (null last) stand together, the strongest node first, ``gap`` apart if there are
+    several. clusters: node, cluster; both tables are small."""
+    held = clusters.select("node", "cluster").join(strength(symmetric(edges)).select("node", "strength"), "node", "left")
+    sized = held.withColumn("strength", F.greatest(F.coalesce("strength", F.lit(0)), F.lit(1)))
+    everything = Window.partitionBy(F.lit(0))  # a network as shown
+    order = everything.orderBy(F.col("cluster").asc_nulls_last(), F.desc("strength"), "node")
+    number = F.dense_rank().over(everything.orderBy(F.col("cluster").asc_nulls_last()))
+    placed = sized.withColumns({"_k": number, "_before": F.coalesce(F.sum("strength").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("strength").over(everything)})
+    several = F.max("_k").over(everything)
+    step = F.when(several > 1, gap).otherwise(0.0)
+    unit = (2 * math.pi - step * several) / F.col("_all")
+    start = -math.pi / 2 + step * (F.col("_k") - 1) + unit * F.col("_before")
+    return placed.select("node", "cluster", "strength", start.alias("start"), (start + unit * F.col("strength")).alias("stop"))
+
+
+def chord_ribbons(edges: DataFrame, arcs: DataFrame) -> DataFrame:
+    """src, dst, w, and each end's slice of its node's arc: slices as wide as the edges' weights, in the order in which
+    the other ends stand around the circle, seen from the node."""
+    both = symmetric(edges)
+    mid = (F.col("start") + F.col("stop")) / 2
+    here = arcs.select(F.col("node").alias("src"), mid.alias("m"), "start", ((F.col("stop") - F.col("start")) / F.col("strength")).alias("unit"))
+    there = arcs.select(F.col("node").alias("dst"), mid.alias("o"))
+    turn = F.atan2(F.sin(F.col("o") - F.col("m")), F.cos(F.col("o") - F.col("m")))
+    j = both.join(here, "src").join(there, "dst").withColumn("turn", turn)
+    before = F.coalesce(F.sum("w").over(Window.partitionBy("src").orderBy(F.desc("turn"), "dst").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = j.select("src", "dst", "w", (F.col("start") + F.col("unit") * before).alias("a"), (F.col("start") + F.col("unit") * (before + F.col("w"))).alias("b"))
+    back = slots.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("a").alias("dst_start"), F.col("b").alias("dst_stop"))
+    return slots.where("src < dst").join(back, ["src", "dst"]).select("src", "dst", "w", F.col("a").alias("src_start"), F.col("b").alias("src_stop"), "dst_start", "dst_stop")
+
+
 def families(labels: DataFrame, least: int = 3, top: int = 8) -> DataFrame:
     """The ``top`` largest labels with ``least`` nodes or more: label, size."""
     return labels.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= least).orderBy(F.desc("size"), "label").limit(top)

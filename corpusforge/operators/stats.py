@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text as X
+from corpusforge.session import shared_folder
 
 
 def top_terms(tokens: DataFrame, group: list[str], k: int = 20, word: str = "word") -> DataFrame:
@@ -69,11 +70,12 @@ def percentile_from_histogram(hist: DataFrame, group: list[str], share: float) -
 def log_odds(tokens: DataFrame, group: str, least: int = 5, k: int | None = None, prior: float = 0.01) -> DataFrame:
     """group, word, n, rest, z: log-odds of each group against the rest with an informative Dirichlet prior
     (``prior`` times the word's whole frequency), in units of its standard deviation."""
-    counts = tokens.groupBy(group, "word").agg(F.count("*").alias("n"))
+    shared_folder(tokens.sparkSession)
+    counts = tokens.groupBy(group, "word").agg(F.count("*").alias("n")).checkpoint()  # read three times
     by_word = counts.groupBy("word").agg(F.sum("n").alias("all_n"))
-    by_group = counts.groupBy(group).agg(F.sum("n").alias("group_n"))
+    by_group = counts.groupBy(group).agg(F.sum("n").alias("group_n")).checkpoint()
     total = by_group.agg(F.sum("group_n").alias("total"))
-    c = counts.where(F.col("n") >= least).join(by_word, "word").join(F.broadcast(by_group), group).crossJoin(F.broadcast(total))  # one row
+    c = counts.where(F.col("n") >= least).join(by_word, "word").join(by_group, group).crossJoin(F.broadcast(total))  # one row
     a, big_a = prior * F.col("all_n"), prior * F.col("total")
     rest, rest_n = F.col("all_n") - F.col("n"), F.col("total") - F.col("group_n")
     delta = F.log((F.col("n") + a) / (F.col("group_n") + big_a - F.col("n") - a)) - F.log((rest + a) / (rest_n + big_a - rest - a))
@@ -118,22 +120,38 @@ def zipf(tokens: DataFrame, group: list[str], points: int = 12, top: int = 1000)
     return ranked.where(F.array_contains(X.log_spaced(1, top, points), F.col("rank").cast("long")))
 
 
+def running_total(rows: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before them in their group; ``order`` must tell rows apart.
+
+    Rows are dealt to ranges of the order; sums run inside a range, and a range begins at the sum of those before it,
+    so no task holds a whole group. A checkpoint fixes the ranges.
+    """
+    shared_folder(rows.sparkSession)
+    ranged = rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sums = ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
+    parts = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    begins = sums.withColumn("_begin", F.coalesce(F.sum("_sum").over(parts), F.lit(0))).drop("_sum")
+    inner = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    held = ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return held.join(begins, [*group, "_range"]).select(*rows.columns, (F.col("_begin") + F.col("_inside")).alias(name))
+
+
 def heaps(docs: DataFrame, group: str, id_col: str = "doc_id", text_col: str = "text", step: int = 1500) -> DataFrame:
     """group, tokens_to, types: types among the first tokens of a group (documents by id), each ``step`` tokens and at the end.
 
-    First places are a map-side minimum for each word; the running sums run over documents and over steps alone.
+    A word's first place (document, then position) is a map-side minimum; documents' offsets are running totals.
     """
-    sized = docs.select(group, F.col(id_col).alias("id"), X.lower_tokens(text_col).alias("w")).withColumn("n", F.size("w"))
-    before = Window.partitionBy(group).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.select(group, "id", "n").withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select(group, "id", "offset")
-    placed = sized.join(offsets, [group, "id"]).select(group, "offset", F.posexplode("w").alias("pos", "word"))
-    firsts = placed.groupBy(group, "word").agg(F.min(F.col("offset") + F.col("pos")).alias("at"))
-    ends = sized.groupBy(group).agg(F.sum("n").alias("total"))
-    bins = firsts.groupBy(group, F.floor(F.col("at") / step).alias("bin")).agg(F.count("*").alias("new"))
+    shared_folder(docs.sparkSession)
+    cut = docs.select(group, F.col(id_col).alias("id"), X.lower_tokens(text_col).alias("w"))
+    firsts = cut.select(group, "id", F.posexplode("w").alias("pos", "word")).groupBy(group, "word").agg(F.min(F.struct("id", "pos")).alias("first"))
+    offsets = running_total(cut.select(group, "id", F.size("w").alias("n")), [group], ["id"], "n", "offset").checkpoint()
+    placed = firsts.select(group, F.col("first.id").alias("id"), F.col("first.pos").alias("pos")).join(offsets, [group, "id"])
+    ends = offsets.groupBy(group).agg(F.sum("n").alias("total"))
+    bins = placed.groupBy(group, F.floor((F.col("offset") + F.col("pos")) / step).alias("bin")).agg(F.count("*").alias("new"))
     grid = ends.where("total > 0").select(group, "total", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / step))).alias("bin"))
-    filled = grid.join(bins, [group, "bin"], "left")
-    types = F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy(group).orderBy("bin"))
-    return filled.select(group, F.least((F.col("bin") + 1) * step, F.col("total")).alias("tokens_to"), types.alias("types"))
+    filled = grid.join(bins, [group, "bin"], "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    types = running_total(filled, [group], ["bin"], "new", "before")
+    return types.select(group, F.least((F.col("bin") + 1) * step, F.col("total")).alias("tokens_to"), (F.col("before") + F.col("new")).alias("types"))
 
 
 def field_rates(tokens: DataFrame, lexicon: DataFrame, group: list[str], unit: float = 1000.0) -> DataFrame:
@@ -200,12 +218,15 @@ def tf_idf(tokens: DataFrame, id_col: str, n_docs: int, k: int = 6, keep: list[s
 def inverted_index(tokens: DataFrame, group: str, groups: list[str], id_col: str, least: int = 2, least_docs: int = 1) -> DataFrame:
     """word, n, docs, a count for each group, postings (ids, rising) of words with ``least`` tokens or more.
 
-    Postings are as long as a word has documents; leave frequent words out where they aren't asked for.
+    Words are counted before their postings are collected, and those that don't count have none. A posting list is as
+    long as a word has documents.
     """
-    per_doc = tokens.groupBy("word", id_col, group).agg(F.count("*").alias("c"))
+    shared_folder(tokens.sparkSession)
+    per_doc = tokens.groupBy("word", id_col, group).agg(F.count("*").alias("c")).checkpoint()
     by = [F.sum(F.when(F.col(group) == g, F.col("c")).otherwise(0)).alias(f"n_{g}") for g in groups]
-    out = per_doc.groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("docs"), *by, F.array_sort(F.collect_list(id_col)).alias("postings"))
-    return out.where((F.col("n") >= least) & (F.col("docs") >= least_docs))
+    counted = per_doc.groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("docs"), *by).where((F.col("n") >= least) & (F.col("docs") >= least_docs))
+    lists = per_doc.join(counted.select("word"), "word", "left_semi").groupBy("word").agg(F.array_sort(F.collect_list(id_col)).alias("postings"))
+    return counted.join(lists, "word")
 
 
 def doc_cards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", function_words: list[str] | None = None) -> DataFrame:
@@ -261,9 +282,22 @@ def modal(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def first_types(tokens: DataFrame, part: list[str], order: list[str], first: int = 10_000) -> DataFrame:
-    """part, types among the first tokens."""
-    r = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    return tokens.withColumn("_r", r).where(F.col("_r") <= first).groupBy(*part).agg(F.countDistinct("word").alias("types"))
+    """part, types among the first tokens by ``order``: (document, place in it)."""
+    *keys, pos = order
+    sizes = tokens.groupBy(*part, *keys).agg(F.count("*").alias("_n"))
+    offsets = running_total(sizes, part, keys, "_n", "_offset").where(F.col("_offset") < first)
+    within = tokens.join(offsets, [*part, *keys])
+    here = F.row_number().over(Window.partitionBy(*part, *keys).orderBy(pos))  # inside a document
+    return within.withColumn("_r", F.col("_offset") + here).where(F.col("_r") <= first).groupBy(*part).agg(F.countDistinct("word").alias("types"))
+
+
+def words_around(tokens: DataFrame, centres: list[str], part: list[str], reach: int = 6, known: DataFrame | None = None, k: int = 70) -> DataFrame:
+    """word, n: the commonest words up to ``reach`` places before or behind one of ``centres`` that no lexicon knows."""
+    near = F.max(F.col("word").isin(centres).cast("int")).over(Window.partitionBy(*part).orderBy("pos").rowsBetween(-reach, reach))
+    found = tokens.withColumn("_near", near).where((F.col("_near") == 1) & ~F.col("word").isin(centres))
+    if known is not None:
+        found = found.join(known.select("word").distinct(), "word", "left_anti")
+    return found.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(k)
 
 
 def words_near(tokens: DataFrame, triggers: list[str], part: list[str], after: int = 4, known: DataFrame | None = None, k: int = 70) -> DataFrame:

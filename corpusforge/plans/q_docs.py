@@ -98,10 +98,17 @@ def page_skip_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.skip_reason(p, reasons).select("page_id", "link_share", "reason"), "link_share")
 
 
-@query("page_text_extract")
+@query("page_text_extract", r"""WITH a0 AS (SELECT page_id, regexp_extract(html, '(?is)<article\b[^>]*>.*?</article\s*>') AS a FROM pages),
+a1 AS (SELECT page_id, regexp_replace(regexp_extract(a, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]*>', ' ', 'g') AS title, regexp_replace(a, '(?is)<h1\b[^>]*>.*?</h1\s*>', '', 'g') AS c FROM a0),
+a2 AS (SELECT page_id, title, regexp_replace(regexp_replace(c, '(?is)<(nav|meta)\b[^>]*>|<!--.*?-->', '', 'g'), '\r?\n', ' ', 'g') AS c FROM a1),
+a3 AS (SELECT page_id, title, regexp_replace(regexp_replace(regexp_replace(c, '(?i)<br\b[^>]*>', chr(10), 'g'), '(?i)</?(p|div|h[1-6]|li|tr|blockquote)\b[^>]*>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g') AS c FROM a2),
+a4 AS (SELECT page_id, trim(regexp_replace(replace(replace(title, '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, list_transform(string_split(replace(replace(replace(replace(c, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), chr(10)), lambda x: regexp_replace(x, '\s+$', '')) AS l FROM a3),
+a5 AS (SELECT page_id, title, l, coalesce(list_min(list_transform(list_filter(l, lambda x: x <> ''), lambda x: length(x) - length(regexp_replace(x, '^[ \t]+', '')))), 0) AS n FROM a4)
+SELECT page_id, title, regexp_replace(regexp_replace(array_to_string(list_transform(l, lambda x: substr(x, n + 1)), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM a5""")
 def page_text_extract(spark: SparkSession, sf: str) -> DataFrame:
-    article = F.regexp_extract("html", r"(?is)<article\b[^>]*>(.*?)</article>", 1)
-    return load(spark, sf, "pages").select("page_id", X.html_to_text(F.when(article != "", article).otherwise(F.col("html"))).alias("text"))
+    from corpusforge.sources.web import extracted
+
+    return extracted(load(spark, sf, "pages")).select("page_id", "title", "text")
 
 
 @query("page_links", r"SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href=\"([^\"]+)\"', 1)) AS link FROM pages")
@@ -132,8 +139,8 @@ def substantial_documents(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", X.letters("text").alias("letters"))
 
 
-@query("repaired_titles", r"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '* * *' ELSE source END AS title, regexp_replace(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), '[\p{P}\s]+$', '') AS first FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(title, '^[*\s]+$') AND first IS NOT NULL THEN '"' || first || '"' ELSE title END AS title FROM f""")
+@query("repaired_titles", r"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '* * *' ELSE source END AS title, regexp_replace(trim(regexp_replace(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], '\s+', ' ', 'g')), '[,.;:—-]+$', '') AS first FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(title, '^[*\s]+$') AND first IS NOT NULL THEN '"' || first || '..."' ELSE title END AS title FROM f""")
 def repaired_titles(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).withColumn("title", F.when(F.col("doc_id") % 5 == 0, "* * *").otherwise(F.col("source")))
     return d.select("doc_id", D.repaired_title("title", "text").alias("title"))

@@ -39,16 +39,20 @@ def name_votes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.kinds(E.votes(t, ["doc_id"], ["mr"], ["in", "at", "to"]), places), "person", "prep")
 
 
-#: Longer words that are in a few documents stand for names: the supplied texts are invented.
-OCC = f"{TOK}, o0 AS (SELECT word FROM tok GROUP BY word HAVING count(DISTINCT doc_id) BETWEEN 8 AND 40 AND length(word) >= 7), occ AS (SELECT doc_id, lang, pos, word FROM tok JOIN o0 USING (word))"
+#: Longer words that are in 0.8 to 4 % of the documents stand for names, since the supplied texts are invented: shares,
+#: so the rule is the same at every size.
+OCC = f"{TOK}, o0 AS (SELECT word FROM tok WHERE length(word) >= 7 GROUP BY word HAVING count(DISTINCT doc_id) * 1000 BETWEEN 8 * (SELECT count(*) FROM documents) AND 40 * (SELECT count(*) FROM documents)), occ AS (SELECT doc_id, lang, pos, word FROM tok JOIN o0 USING (word))"
 EDGES = f"{OCC}, d AS (SELECT DISTINCT doc_id, word FROM occ), ed AS (SELECT a.word AS src, b.word AS dst, count(*) AS w FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL HAVING count(*) >= 2)"
 BOTH = f"{EDGES}, bo AS (SELECT src, dst, w FROM ed UNION ALL SELECT dst, src, w FROM ed), rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank FROM bo)"
 
 
 def occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    t = tok(spark, sf)
-    names = t.where("length(word) >= 7").groupBy("word").agg(F.countDistinct("doc_id").alias("d")).where("d between 8 and 40").select("word")
-    return t.join(names, "word").select("doc_id", "lang", "pos", "word")
+    docs = documents(spark, sf)
+    n = docs.count()
+    long = docs.select("doc_id", "lang", F.filter(F.transform(X.lower_tokens("text"), lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.length(x["word"]) >= 7).alias("w"))
+    d = long.select(F.explode(F.array_distinct("w.word")).alias("word")).groupBy("word").agg(F.count("*").alias("d"))
+    names = d.where((F.col("d") * 1000).between(8 * n, 40 * n)).select("word")
+    return long.select("doc_id", "lang", F.explode("w").alias("x")).select("doc_id", "lang", "x.pos", "x.word").join(names, "word").select("doc_id", "lang", "pos", "word")
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +108,15 @@ def graph_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("label_families")
 def label_families(spark: SparkSession, sf: str) -> DataFrame:
-    return G.families(G.label_propagation(edges(spark, sf).where("w >= 3")))
+    return G.families(G.family_labels(G.hub_map(edges(spark, sf))))
+
+
+@query("chord_network")
+def chord_network(spark: SparkSession, sf: str) -> DataFrame:
+    shown = G.hub_map(edges(spark, sf))
+    labels = G.family_labels(shown)
+    arcs = G.chord_arcs(shown, labels.select("node", F.col("label").alias("cluster")))
+    return rounded(G.chord_ribbons(shown, arcs), "src_start", "src_stop", "dst_start", "dst_stop")
 
 
 @query("entity_filter", f"WITH {OCC}, s AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS texts, count_if(lang = 'en') AS n_en FROM occ GROUP BY word) SELECT * FROM s WHERE starts_with(word, 'th') AND n_en > 0 AND n >= 10")
@@ -117,12 +129,12 @@ def entity_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.ranking(E.entity_stats(occurrences(spark, sf), "lang", [], "doc_id"), ["texts", "n"], 15)
 
 
-@query("rare_words", f"WITH {TOK} SELECT word, count(*) AS n FROM tok WHERE lang = 'es' GROUP BY word HAVING count(*) <= 2")
+@query("rare_words", f"WITH {TOK} SELECT word, count(*) AS n FROM tok GROUP BY word HAVING count(*) <= 2")
 def rare_words(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.rare(tok(spark, sf).where("lang = 'es'").groupBy("word").agg(F.count("*").alias("n")))
+    return lookup.rare(tok(spark, sf).groupBy("word").agg(F.count("*").alias("n")))
 
 
-@query("display_forms", f"""WITH {CASED}, f AS (SELECT lower(word) AS lemma, word, count(*) AS n FROM cased GROUP BY ALL), t AS (SELECT *, max(n) OVER (PARTITION BY lemma) AS top FROM f), r AS (SELECT lemma, word, row_number() OVER (PARTITION BY lemma ORDER BY (lower(word) <> lemma), length(word), n DESC, word) AS k FROM t WHERE n >= 0.25 * top) SELECT lemma, word AS display FROM r WHERE k = 1""")
+@query("display_forms", f"""WITH {CASED}, f AS (SELECT lower(word) AS lemma, word, count(*) AS n FROM cased GROUP BY ALL), t AS (SELECT *, max(n) OVER (PARTITION BY lemma) AS top FROM f), r AS (SELECT lemma, word, row_number() OVER (PARTITION BY lemma ORDER BY (lower(word) <> lemma), length(word), n DESC, word) AS k FROM t WHERE n >= 0.25 * top OR lower(word) = lemma) SELECT lemma, word AS display FROM r WHERE k = 1""")
 def display_forms(spark: SparkSession, sf: str) -> DataFrame:
     t = T.token_table(documents(spark, sf), ["doc_id"], lower=False).withColumn("lemma", F.lower("word"))
     return E.display_forms(t)

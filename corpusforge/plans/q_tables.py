@@ -32,30 +32,32 @@ def multi_key_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.ranking(o, ["n", "total"], 25, "c_custkey")
 
 
-@query("menu_order", """WITH m AS (SELECT * FROM (VALUES ('BUILDING', 1), ('MACHINERY', 2)) v(segment, ord)) SELECT c_custkey, coalesce(ord, 99) AS ord FROM customer LEFT JOIN m ON c_mktsegment = segment ORDER BY coalesce(ord, 99), c_mktsegment, c_custkey LIMIT 50""")
+@query("menu_order", """WITH m AS (SELECT * FROM (VALUES ('BUILDING', 1), ('MACHINERY', 2)) v(segment, ord)) SELECT c_custkey, coalesce(ord, 99) AS ord FROM customer LEFT JOIN m ON c_mktsegment = segment ORDER BY coalesce(ord, 99), c_mktsegment, c_custkey""")
 def menu_order(spark: SparkSession, sf: str) -> DataFrame:
     m = spark.createDataFrame([("BUILDING", 1), ("MACHINERY", 2)], "c_mktsegment string, ord int")
-    return load(spark, sf, "customer").join(m, "c_mktsegment", "left").withColumn("ord", F.coalesce("ord", F.lit(99))).orderBy("ord", "c_mktsegment", "c_custkey").limit(50).select("c_custkey", "ord")
+    return load(spark, sf, "customer").join(m, "c_mktsegment", "left").withColumn("ord", F.coalesce("ord", F.lit(99))).orderBy("ord", "c_mktsegment", "c_custkey").select("c_custkey", "ord")
 
 
-@query("chronological_order", """WITH k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE year(o_orderdate) END AS y, CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE 1995 END AS pe FROM orders WHERE o_custkey % 100 = 1)
+@query("chronological_order", """WITH k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE year(o_orderdate) END AS y, CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE 1995 END AS pe FROM orders)
 SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(y, pe, 9999), CASE WHEN y IS NOT NULL THEN 0 WHEN pe IS NOT NULL THEN 1 ELSE 2 END, o_orderkey) - 1 AS pid FROM k""")
 def chronological_order(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").where("o_custkey % 100 = 1")
+    from corpusforge.operators.stats import running_total
+
+    o = load(spark, sf, "orders")
     y = F.when(F.col("o_orderkey") % 7 != 0, F.year("o_orderdate"))
     pe = F.when(F.col("o_orderkey") % 14 != 0, F.lit(1995))
-    key = F.struct(F.coalesce(y, pe, F.lit(9999)), F.when(y.isNotNull(), 0).when(pe.isNotNull(), 1).otherwise(2), "o_orderkey")
-    return o.select("o_orderkey", (F.row_number().over(Window.orderBy(key)) - 1).alias("pid"))
+    keyed = o.select("o_orderkey", F.coalesce(y, pe, F.lit(9999)).alias("year"), F.when(y.isNotNull(), 0).when(pe.isNotNull(), 1).otherwise(2).alias("told"), F.lit(1).alias("one"))
+    return running_total(keyed, [], ["year", "told", "o_orderkey"], "one", "pid").select("o_orderkey", "pid")
 
 
-@query("control_break_report", """WITH j AS (SELECT r_name, n_name, c_custkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey <= 300),
+@query("control_break_report", """WITH j AS (SELECT r_name, n_name, c_custkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 f AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY n_name, c_custkey) = 1 AS s, n_name IS DISTINCT FROM lag(n_name) OVER (PARTITION BY r_name ORDER BY n_name, c_custkey) AS b FROM j)
 SELECT r_name, n_name, c_custkey, CASE WHEN s THEN '## ' || r_name || chr(10) ELSE '' END || CASE WHEN b OR s THEN '# ' || n_name || chr(10) ELSE '' END || c_custkey::VARCHAR || chr(10) || c_mktsegment AS line FROM f""")
 def control_break_report(spark: SparkSession, sf: str) -> DataFrame:
     from corpusforge.sources.sinks import control_break_lines
 
     c, n, r = (load(spark, sf, t) for t in ("customer", "nation", "region"))
-    j = c.where("c_custkey <= 300").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("title", F.col("c_custkey").cast("string"))
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("title", F.col("c_custkey").cast("string"))
     return control_break_lines(j, ["r_name", "n_name", "c_custkey"], "r_name", "n_name", "title", "c_mktsegment")
 
 

@@ -88,9 +88,9 @@ def syllable_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("syllable_p75_from_histogram", f"""WITH {HIST}, c AS (SELECT lang, bin, sum(n) OVER (PARTITION BY lang ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY lang) AS total FROM h)
-SELECT lang, min(bin) AS bin FROM c WHERE cum >= 0.25 * total GROUP BY lang""")
+SELECT lang, min(bin) AS bin FROM c WHERE cum >= 0.75 * total GROUP BY lang""")
 def syllable_p75(spark: SparkSession, sf: str) -> DataFrame:
-    return S.percentile_from_histogram(histogram(spark, sf), ["lang"], 0.25)
+    return S.percentile_from_histogram(histogram(spark, sf), ["lang"], 0.75)
 
 
 @query("stanza_buckets", f"""WITH {STANZA}, s AS (SELECT lang, doc_id, stanza_no, count(*) AS size FROM st GROUP BY ALL),
@@ -267,7 +267,7 @@ def words_near_triggers(spark: SparkSession, sf: str) -> DataFrame:
     return S.words_near(tok(spark, sf), ["the", "of"], ["doc_id"], known=known)
 
 
-@query("undercount_audit", f"""WITH {TOK}, s AS (SELECT * FROM (VALUES ('thing', 'thin'), ('then', 'the'), ('ander', 'ande')) v(word, stem)), c AS (SELECT word, count(*) AS n FROM tok GROUP BY 1), r AS (SELECT s.word, sum(c.n)::BIGINT AS raw FROM s JOIN c ON starts_with(c.word, s.stem) GROUP BY 1)
+@query("undercount_audit", f"""WITH {TOK}, s AS (SELECT * FROM (VALUES ('thing', 'thin'), ('then', 'the'), ('ander', 'ande')) v(word, stem)), c AS (SELECT word, count(*) AS n FROM tok GROUP BY 1), r AS (SELECT s.word, sum(c.n)::BIGINT AS raw FROM c JOIN s ON s.stem IN (left(c.word, 3), left(c.word, 4)) GROUP BY 1)
 SELECT r.word, raw, coalesce(c.n, 0) AS got FROM r LEFT JOIN c USING (word) WHERE raw > coalesce(c.n, 0)""")
 def undercount_audit(spark: SparkSession, sf: str) -> DataFrame:
     stems = spark.createDataFrame([("thing", "thin"), ("then", "the"), ("ander", "ande")], "word string, stem string")

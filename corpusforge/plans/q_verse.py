@@ -1,9 +1,9 @@
-"""Queries on line ends, sound and sentences across lines. The supplied texts carry no stress, so stress-based
-operators run here over a few well-known lines and are otherwise held by tests."""
+"""Queries on metre, line ends, sound and sentences across lines. The supplied texts carry no stress, so a mark is put
+before the first vowel of words: the operators then run over all lines, and tests hold them to real stress."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text as X
@@ -11,6 +11,7 @@ from corpusforge.operators import verse as V
 from corpusforge.plans import lookup
 from corpusforge.plans.catalog import query
 from corpusforge.plans.q_text import LIN, STANZA, VOWELS, documents, lin, rounded, stanzas
+from corpusforge.session import shared_folder
 
 RHYME = f"""{STANZA}, e AS (SELECT doc_id, lang, line_no, list_extract(regexp_extract_all(lower(line), '\\p{{L}}+'), -1) AS last FROM st), f AS (SELECT *, right(last, 3) AS suffix FROM e WHERE length(last) >= 3),
 r AS (SELECT *, len(list_distinct(list(last) OVER (PARTITION BY doc_id, suffix ORDER BY line_no RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING))) > 1 AS rhymes FROM f)"""
@@ -107,21 +108,111 @@ def simile_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.simile_rates(documents(spark, sf), ["lang"], {"as": " as ", "like": " like "}), "per_1000")
 
 
-#: Stressed lines of public-domain verse: poem, stanza, line.
-STRESSED = [(p, s, i, x) for p, poem in enumerate((("мой д+ядя с+амых ч+естных пр+авил", "когд+а не в ш+утку занем+ог", "он уваж+ать себ+я заст+авил", "и л+учше в+ыдумать не м+ог"), ("б+уря мгл+ою н+ебо кр+оет", "в+ихри сн+ежные крут+я", "т+о как зв+ерь он+а зав+оет", "т+о запл+ачет к+ак дит+я"))) for s, i, x in ((0, n, line) for n, line in enumerate(poem))]
+PLAIN_VOWELS = "aeiouy"
+_FROM, _TO = X.LATIN.accents_from, X.LATIN.accents_to
+#: Lines as plain words; their profiles where words of four letters or more are stressed on the first vowel.
+WORDS = f"""{STANZA}, fw AS (SELECT doc_id, lang, stanza_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS line_no, list_filter(string_split(regexp_replace(translate(lower(line), '{_FROM}', '{_TO}'), '[^a-z]+', ' ', 'g'), ' '), lambda w: regexp_matches(w, '[{PLAIN_VOWELS}]')) AS ws FROM st)"""
+PROFILE = f"""{WORDS}, vc AS (SELECT doc_id, lang, line_no, list_transform(ws, lambda w: [length(w), length(regexp_replace(w, '[^{PLAIN_VOWELS}]', '', 'g'))]) AS c FROM fw),
+pf AS (SELECT doc_id, lang, line_no, array_to_string(list_transform(c, lambda x: CASE WHEN x[2] = 1 THEN CASE WHEN x[1] >= 4 THEN 's' ELSE 'x' END WHEN x[1] >= 4 THEN 'S' || repeat('u', x[2] - 1) ELSE repeat('x', x[2]) END), '') AS p FROM vc),
+told AS (SELECT doc_id, line_no, p, list_filter(range(length(p)), lambda i: p[i + 1] IN ('S', 's')) AS places FROM pf WHERE length(regexp_replace(p, '[ux]', '', 'g')) >= 2),
+mt AS (SELECT * FROM (VALUES ('iamb', 2, 1, 1), ('trochee', 2, 0, 2), ('dactyl', 3, 0, 3), ('amphibrach', 3, 1, 4), ('anapaest', 3, 2, 5)) v(metre, k, a, ord)),
+ft AS (SELECT doc_id, metre, ord, contains(p, 'S') AND len(list_filter(range(length(p)), lambda i: p[i + 1] = 'S' AND (i + k - a) % k <> 0)) = 0 AS fit, CASE WHEN list_max(places) >= a THEN (list_max(places) - a) // k + 1 ELSE 1 END AS feet FROM told, mt),
+sh AS (SELECT doc_id, metre, ord, avg(fit::INT) AS share, count(*) AS lines FROM ft GROUP BY ALL HAVING count(*) >= 3),
+be AS (SELECT doc_id, arg_min(metre, (-share, ord)) AS metre, max(share) AS share, any_value(lines) AS lines FROM sh GROUP BY doc_id),
+gp AS (SELECT doc_id, unnest(list_filter(list_transform(range(1, len(places)), lambda i: places[i + 1] - places[i] - 1), lambda g: g > 0)) AS g FROM told),
+gs AS (SELECT doc_id, avg((g = 1)::INT) AS s1, avg((g = 2)::INT) AS s2, avg((g = 3)::INT) AS s3, avg((g >= 5)::INT) AS s5 FROM gp GROUP BY doc_id),
+nm AS (SELECT be.doc_id, lines, be.metre AS classical, CASE WHEN share >= 0.85 THEN be.metre WHEN s1 + s2 >= 0.75 AND least(s1, s2) >= 0.15 AND s3 < 0.12 AND s5 <= 0.05 THEN 'dolnik' WHEN s1 + s2 + s3 >= 0.85 AND s3 >= 0.12 AND s5 <= 0.05 THEN 'taktovik' ELSE 'free' END AS metre FROM be LEFT JOIN gs USING (doc_id)),
+fc AS (SELECT ft.doc_id, feet, count(*) AS c FROM ft JOIN nm ON ft.doc_id = nm.doc_id AND ft.metre = nm.metre WHERE fit GROUP BY ALL), fm AS (SELECT doc_id, arg_min(feet, (-c, feet)) AS feet, max(c) AS most, sum(c) AS every FROM fc GROUP BY doc_id),
+metres AS (SELECT nm.doc_id, lines, metre, CASE WHEN most >= 0.6 * every THEN feet END AS feet FROM nm LEFT JOIN fm USING (doc_id))"""
 
 
-def _stressed(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STRESSED, "poem int, stanza_no int, line_no int, line string")
+def _plain_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that aren't blank, numbered without gaps, with their words in plain letters."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    flat = F.regexp_replace(X.fold_accents("line"), "[^a-z]+", " ")
+    words = F.filter(F.split(flat, " "), lambda x: x.rlike(f"[{PLAIN_VOWELS}]"))
+    return stanzas(spark, sf).select("doc_id", "lang", "stanza_no", (F.row_number().over(w) - 1).alias("line_no"), words.alias("ws"))
 
 
-@query("metres", "SELECT * FROM (VALUES (0, 4::BIGINT, 'iamb', 4::BIGINT), (1, 4::BIGINT, 'trochee', 4::BIGINT)) v(poem, lines, metre, feet)")
+def _stressed(ws: str, least: int) -> Column:
+    marked = F.transform(ws, lambda w: F.when(F.length(w) >= least, F.regexp_replace(w, f"^([^{PLAIN_VOWELS}]*)", "$1+")).otherwise(w))
+    return F.array_join(marked, " ")
+
+
+def _metres(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _plain_words(spark, sf).select("doc_id", V.profile(_stressed("ws", 4), PLAIN_VOWELS).alias("profile"))
+    return V.classify_metre(lines, ["doc_id"])
+
+
+@query("metres", f"WITH {PROFILE} SELECT * FROM metres")
 def metres(spark: SparkSession, sf: str) -> DataFrame:
-    return V.classify_metre(_stressed(spark).withColumn("profile", V.profile("line")), ["poem"])
+    return _metres(spark, sf)
+
+
+@query("metre_table", f"WITH {PROFILE}, n AS (SELECT lang, metre AS key, sum(lines)::BIGINT AS n FROM metres JOIN documents USING (doc_id) GROUP BY ALL) SELECT lang, key, n, round(n / sum(n) OVER (PARTITION BY lang), 6) AS share FROM n")
+def metre_table(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.metre_table(_metres(spark, sf), documents(spark, sf).select("doc_id", "lang"), ["doc_id"], "lang"), "share")
+
+
+def _single(text: str) -> str:
+    """SQL for a text of plain letters whose doubled ones are single."""
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        text = f"replace({text}, '{c}{c}', '{c}')"
+    return text
+
+
+#: Line ends where every word is stressed on its first vowel, the pairs that rhyme, and what answers each line.
+ENDS = f"""{WORDS}, e0 AS (SELECT doc_id, lang, stanza_no, line_no, ws[-1] AS last, array_to_string(ws[:-2], '') || regexp_extract(ws[-1], '^[^{PLAIN_VOWELS}]*') AS head, regexp_extract(ws[-1], '[{PLAIN_VOWELS}].*$') AS t FROM fw WHERE len(ws) > 0),
+e1 AS (SELECT doc_id, lang, stanza_no, line_no, last, CASE WHEN head = '' OR regexp_matches(head, '[{PLAIN_VOWELS}]$') THEN '' ELSE right(head, 1) END AS support, t[1] AS v, {_single("t[2:]")} AS rest FROM e0),
+en AS (SELECT *, v || rest AS key, length(regexp_replace(rest, '[^{PLAIN_VOWELS}]', '', 'g')) AS after, regexp_replace(rest, '[{PLAIN_VOWELS}]', '', 'g') AS cons FROM e1),
+py AS (SELECT a.doc_id, a.lang, a.line_no AS i, b.line_no AS j, a.support <> '' AND a.support = b.support AS rich, CASE WHEN a.last = b.last OR a.v <> b.v OR a.after <> b.after THEN NULL WHEN a.key = b.key THEN CASE WHEN length(a.key) = 1 AND a.support <> b.support THEN 'assonance' ELSE 'exact' END
+WHEN a.after = 0 AND regexp_matches(a.key, '[{PLAIN_VOWELS}]$') <> regexp_matches(b.key, '[{PLAIN_VOWELS}]$') THEN NULL WHEN a.cons = b.cons OR (levenshtein(a.cons, b.cons) <= 1 AND (a.after > 0 OR least(length(a.cons), length(b.cons)) >= 2)) THEN 'inexact' WHEN right(a.cons, 1) = right(b.cons, 1) THEN 'assonance' END AS type
+FROM en a JOIN en b ON a.doc_id = b.doc_id AND b.line_no - a.line_no BETWEEN 1 AND 4 AND b.stanza_no - a.stanza_no <= 1),
+pr AS (SELECT doc_id, lang, i, min(j) AS j, arg_min(type, j) AS type, arg_min(rich, j) AS rich FROM py WHERE type IN ('exact', 'inexact') OR (type = 'assonance' AND j - i <= 2) GROUP BY ALL),
+wa AS (SELECT doc_id, j AS line_no, i AS partner, i AS o, type FROM pr UNION ALL SELECT doc_id, i, j, i, type FROM pr), pa AS (SELECT doc_id, line_no, arg_min(partner, o) AS partner, arg_min(type, o) AS type FROM wa GROUP BY ALL),
+q0 AS (SELECT doc_id, lang, stanza_no, min(line_no) AS s, list(partner ORDER BY line_no) AS q FROM fw LEFT JOIN pa USING (doc_id, line_no) GROUP BY ALL HAVING count(*) = 4),
+q1 AS (SELECT *, CASE WHEN q[1] IS NULL THEN '-' ELSE 'A' END AS l1 FROM q0),
+q2 AS (SELECT *, l1 || CASE WHEN q[2] IS NULL THEN '-' WHEN q[2] - s = 0 THEN l1 ELSE substr('ABCD', 1 + contains(l1, 'A')::INT, 1) END AS l2 FROM q1),
+q3 AS (SELECT *, l2 || CASE WHEN q[3] IS NULL THEN '-' WHEN q[3] - s BETWEEN 0 AND 1 THEN l2[(q[3] - s + 1)::INT] ELSE substr('ABCD', 1 + contains(l2, 'A')::INT + contains(l2, 'B')::INT, 1) END AS l3 FROM q2),
+q4 AS (SELECT *, l3 || CASE WHEN q[4] IS NULL THEN '-' WHEN q[4] - s BETWEEN 0 AND 2 THEN l3[(q[4] - s + 1)::INT] ELSE substr('ABCD', 1 + contains(l3, 'A')::INT + contains(l3, 'B')::INT + contains(l3, 'C')::INT, 1) END AS letters FROM q3),
+sc AS (SELECT doc_id, lang, stanza_no, letters, CASE WHEN letters IN ('AABB', 'ABAB', 'ABBA') THEN letters WHEN length(letters) - length(replace(letters, '-', '')) >= 2 THEN 'none' ELSE 'other' END AS scheme FROM q4)"""
 
 
-@query("rhyme_schemes", "SELECT * FROM (VALUES (0, 0, 'ABAB'), (1, 0, 'ABAB')) v(poem, stanza_no, scheme)")
+def _ends(spark: SparkSession, sf: str) -> DataFrame:
+    shared_folder(spark)
+    ends = _plain_words(spark, sf).withColumn("c", V.clausula(_stressed("ws", 1), PLAIN_VOWELS))
+    return ends.select("doc_id", "lang", "stanza_no", "line_no", "c").checkpoint()  # read by pairs, schemes and tables
+
+
+@query("rhyme_schemes", f"WITH {ENDS} SELECT doc_id, stanza_no, letters, scheme FROM sc")
 def rhyme_schemes(spark: SparkSession, sf: str) -> DataFrame:
-    ends = _stressed(spark).withColumn("c", V.clausula("line"))
-    pairs = V.rhyme_pairs(ends, ["poem"])
-    return V.quatrain_schemes(pairs, ends, ["poem"])
+    ends = _ends(spark, sf)
+    return V.quatrain_schemes(V.rhyme_pairs(ends, ["doc_id"], vowels=PLAIN_VOWELS), ends, ["doc_id"])
+
+
+@query("rhyme_tables", f"""WITH {ENDS}, k AS (SELECT 'type' AS part, fw.lang, coalesce(type, 'none') AS key FROM fw LEFT JOIN pa USING (doc_id, line_no) UNION ALL SELECT 'ending', lang, least(after, 3)::VARCHAR FROM en
+UNION ALL SELECT 'rich', lang, CASE WHEN rich THEN 'rich' ELSE 'plain' END FROM pr WHERE type = 'exact' UNION ALL SELECT 'compound', lang, 'simple' FROM pr UNION ALL SELECT 'scheme', lang, scheme FROM sc), n AS (SELECT part, lang, key, count(*) AS n FROM k GROUP BY ALL)
+SELECT part, lang, key, n, round(n / sum(n) OVER (PARTITION BY part, lang), 6) AS share FROM n""")
+def rhyme_tables(spark: SparkSession, sf: str) -> DataFrame:
+    ends = _ends(spark, sf)
+    pairs = V.rhyme_pairs(ends, ["doc_id"], vowels=PLAIN_VOWELS).checkpoint()
+    poems = documents(spark, sf).select("doc_id", "lang")
+    found = V.rhyme_tables(ends.drop("lang"), pairs, poems, ["doc_id"], "lang")
+    return rounded(found.withColumnRenamed("table", "part"), "share")
+
+
+@query("alliteration_against_chance")
+def alliteration_against_chance(spark: SparkSession, sf: str) -> DataFrame:
+    lines = lin(spark, sf).where(F.trim("line") != "").select("lang", "doc_id", "line_no", "line")
+    return V.alliteration_against_chance(lines, ["lang"], ["doc_id", "line_no"], ["the", "that"])
+
+
+SPANS = """s AS (SELECT lang, doc_id, sentence_no, count(*) AS lines, count(DISTINCT stanza_no) AS stanzas FROM x GROUP BY ALL)"""
+
+
+@query("span_table", f"""WITH {STANZA}, e AS (SELECT lang, doc_id, line_no, stanza_no, regexp_matches(rtrim(line), '[.!?…]+[»"'')]*(\\s|$)') AS ends, regexp_matches(rtrim(line), '[.!?…]+[»"'')]*$') AS closes FROM st),
+c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k FROM e),
+x AS (SELECT lang, doc_id, stanza_no, unnest(CASE WHEN ends AND NOT closes THEN [k, k + 1] ELSE [k] END) AS sentence_no FROM c), {SPANS}
+SELECT lang, count(*) AS n, quantile_cont(lines, 0.5) AS median, round(avg(lines), 6) AS mean, quantile_cont(lines, 0.9) AS p90, round(avg((stanzas > 1)::INT), 6) AS across FROM s GROUP BY lang""")
+def span_table(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.span_table(V.sentence_spans(stanzas(spark, sf), ["lang", "doc_id"]), ["lang"]), "mean", "across")

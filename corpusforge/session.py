@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -31,9 +33,13 @@ def workers_import(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's folder if it names one, else a local one (tests)."""
+    """Makes checkpoint() usable: the folder that the cluster names in spark.checkpoint.dir; in local mode, where driver
+    and workers are one machine, a temporary one if none is named. On a cluster a missing name is an error."""
     workers_import(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpusforge-checkpoints")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[.*)?$", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))

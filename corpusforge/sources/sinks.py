@@ -50,6 +50,22 @@ def run_log(df: DataFrame, section: str, period: str, text_col: str = "text") ->
     return df.rollup(section, period).agg(F.count("*").alias("texts"), F.sum(F.length(text_col)).alias("chars"), F.sum(F.size(X.tokens(text_col))).alias("words"))
 
 
+def run_report(records: DataFrame, skipped: DataFrame, duplicates: DataFrame, near_duplicates: DataFrame, text_col: str = "text") -> dict[str, object]:
+    """What a run wrote, skipped and left out, as counts: by section and period (small tables), in all, with the
+    records' characters, words and replacement characters."""
+    one = records.agg(F.count("*").alias("written_total"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.size(F.filter(F.split(text_col, r"\s+"), lambda w: w != ""))), F.lit(0)).alias("words"), F.coalesce(F.sum(F.length(text_col) - F.length(F.replace(text_col, F.lit("\ufffd"), F.lit("")))), F.lit(0)).alias("replacement_chars")).first()
+    by = {name: {r[0]: r[1] for r in records.where(F.col(column).isNotNull()).groupBy(column).count().collect()} for name, column in (("written_by_section", "section"), ("by_period", "period")) if column in records.columns}
+    return one.asDict() | by | {"skipped": skipped.count(), "duplicates": duplicates.count(), "near_duplicates": near_duplicates.count()}
+
+
+def write_run_log(report: dict[str, object], lists: dict[str, DataFrame], folder: str) -> None:
+    """The report as one JSON file, and each list (skipped, duplicates, ...) as JSON lines beside it."""
+    spark = next(iter(lists.values())).sparkSession
+    spark.createDataFrame([(json.dumps(report, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report")
+    for name, df in lists.items():
+        write_jsonl(df, f"{folder}/{name}")
+
+
 def compact_index(index: DataFrame, key: str = "word", display: str = "display") -> DataFrame:
     """Display forms that equal their key become null."""
     return index.withColumn(display, F.when(F.col(display) != F.col(key), F.col(display)))

@@ -50,17 +50,31 @@ def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", listing: float = 0.6) -> DataFrame:
-    """id, title, text, pagination, reason (why a page is to be skipped; null if it isn't): the first article, or the
-    body, with its heading."""
-    article = F.regexp_extract(html_col, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
-    content = F.when(article != "", article).otherwise(F.col(html_col))
-    title, text = X.tag_text(html_col, "h1"), X.html_to_text(F.regexp_replace(content, r"(?is)<(nav|meta)\b.*?</\1>", ""))
-    out = pages.select(id_col, title.alias("title"), text.alias("text"), F.col(html_col).rlike(r"(?i)rel=\"?next|class=\"?pagination").alias("pagination"), X.link_share(content).alias("_share"))
-    reason = F.when(F.col("title") == "", "no heading").when(F.col("text") == "", "no text").when(F.col("_share") > listing, "listing")
+def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", article: str = "article", heading: str = "h1", content_class: str | None = None, dropped: tuple[str, ...] = ("nav", "meta"), listing: float = 0.6) -> DataFrame:
+    """id, title, text, pagination, reason (why a page is to be skipped; null if it isn't) of every page.
+
+    A page's text is that of the first ``article`` element with its own ``heading``: of its block with the class
+    ``content_class`` (up to the article's last closing div) if one is named, else of what stands around the heading;
+    elements ``dropped`` go. A page whose links hold more than ``listing`` of the text is a listing.
+    """
+    element = rf"(?is)<{article}\b[^>]*>.*?</{article}\s*>"
+    titled = rf"(?is)<{heading}\b[^>]*>.*?</{heading}\s*>"
+    found = F.filter(F.regexp_extract_all(html_col, F.lit(element), F.lit(0)), lambda x: x.rlike(titled))
+    one = pages.select(id_col, F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("_article"))
+    block = F.regexp_extract("_article", rf"(?is)<div\b[^>]*\bclass\s*=\s*[\"']?[^\"'>]*\b{content_class}\b[^>]*>(.*)</div\s*>", 1) if content_class else F.regexp_replace("_article", titled, "")
+    gone = "|".join(dropped)
+    kept = F.regexp_replace(F.regexp_replace(block, rf"(?is)<({gone})\b.*?</\1\s*>", ""), rf"(?is)<({gone})\b[^>]*>", "")
+    cut = one.select(id_col, X.tag_text("_article", heading).alias("title"), kept.alias("_content"), F.col("_article").rlike(r"(?i)rel=\"?next|class=\"?pagination").alias("pagination"))
+    out = cut.select(id_col, "title", X.html_to_text("_content").alias("text"), "pagination", X.link_share("_content").alias("_share"))
+    reason = F.when(F.col("title") == "", "no article with a heading").when(F.col("_share") > listing, "listing").when(F.col("text") == "", "no text")
     return out.withColumn("reason", reason).drop("_share")
 
 
+def read_pages(raw: DataFrame, id_col: str = "page_id", body_col: str = "body", **how: object) -> DataFrame:
+    """``extracted`` of pages as bytes, decoded with repair."""
+    return extracted(raw.select(id_col, decoded(body_col).alias("html")), id_col, "html", **how)  # type: ignore[arg-type]
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

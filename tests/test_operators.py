@@ -42,6 +42,17 @@ def test_html_to_text_keeps_breaks_and_steps(spark):
     html = "<p>One<br>\n  two</p><script>x()</script><div>&nbsp;&lt;b&gt; &amp;amp;</div>"
     assert one(spark, X.html_to_text(F.lit(html))) == "One\n   two\n\n <b> &amp;"
     assert one(spark, X.html_to_text(F.lit("<p>   a</p><p>     b</p>"))) == "a\n\n  b"
+    assert one(spark, X.html_to_text(F.lit('a<br class="x"/>b<BR clear=all>c<broken>d</br>'))) == "a\nb\ncd"
+    assert one(spark, X.html_to_text(F.lit("x &mdash; &laquo;y&raquo; &#8212;&#x2014; &#150; &nosuch; &amp;lt; a&b &"))) == "x — «y» —— – &nosuch; &lt; a&b &"
+    assert one(spark, X.html_to_text(F.lit("<!-- <p> --><h2>t</h2><li>a<li>b<blockquote>c</blockquote>  <style>p{}</style>"))) == "t\n\na\n\nb\n\nc"
+    assert one(spark, X.html_to_text(F.lit(""))) == "" and one(spark, X.html_to_text(F.lit(None).cast("string"))) is None
+
+
+def test_unescape_equals_the_standard(spark):
+    import html
+
+    for t in ("&eacute;&copy &amp &#233;&#xE9;", "&#0;&#128;&#xD800;&#x110000;", "&lt;&gt;&quot;&apos;&nbsp;", "no reference", "&hellip;&hearts;&Aacute"):
+        assert one(spark, X.unescape(F.lit(t))) == html.unescape(t).replace("\u0000", ""), t
 
 
 def test_urls_and_ids(spark):
@@ -149,10 +160,13 @@ def test_ranks_share_the_best_place(spark):
 
 
 def test_profiles_and_metre(spark):
-    assert one(spark, V.profile(F.lit("мой д+ядя, и ко"))) == "sSuss"
-    assert one(spark, V.fits(F.lit("usuS"), 2, 1)) and not one(spark, V.fits(F.lit("Su"), 2, 1))
-    assert one(spark, V.intervals(F.lit("SuuSxS"))) == [2, 1]
-    assert one(spark, V.feet(F.lit("uSuSu"), 2, 1)) == 2
+    assert one(spark, V.profile(F.lit("м+ой д+ядя, и кот дом+а непонятно"))) == "sSuxxuSxxxx"
+    assert one(spark, V.fits(F.lit("usuS"), 2, 1)) and one(spark, V.fits(F.lit("suuS"), 2, 1)) and not one(spark, V.fits(F.lit("Su"), 2, 1)) and not one(spark, V.fits(F.lit("usus"), 2, 1))
+    assert one(spark, V.intervals(F.lit("SuuSxsS"))) == [2, 1, 0]
+    assert one(spark, V.feet(F.lit("uSuSu"), 2, 1)) == 2 and one(spark, V.feet(F.lit("suuu"), 2, 1)) == 1
+    lines = [(0, p) for p in ("uSuSuSuS", "uSuSuSuSu", "uSuuuSuS", "xSuSuSxs")] + [(1, p) for p in ("SuuSuSuu", "uSuSuuS", "SuSuuS")] + [(2, "uSuS"), (2, "uSuS")]
+    t = spark.createDataFrame(lines, "poem int, profile string")
+    assert rows(V.classify_metre(t, ["poem"])) == [(0, 4, "iamb", 4), (1, 3, "dolnik", None)]
 
 
 def test_clausula_and_rhyme(spark):
@@ -163,14 +177,45 @@ def test_clausula_and_rhyme(spark):
     assert kind("крут+я", "дит+я") == "exact"
     assert kind("занем+ог", "не м+ог") == "exact"
     assert kind("пр+авил", "заст+авил") == "exact"
-    assert kind("в+ечер", "в+етер") in ("inexact", "assonance")
-    assert one(spark, V.clausula(F.lit("непонятно"))) is None
+    assert kind("в+ечер", "в+етер") == "inexact" and kind("б+ыл", "м+ил") == "exact"
+    assert kind("н+очь", "б+ой") is None and kind("к+от", "с+он") is None and kind("рук+а", "стак+ан") is None
+    assert kind("рук+а", "семь+я") == "assonance" and kind("рук+а", "рек+а") == "exact" and kind("с+иний", "д+ини") == "inexact"
+    assert kind("м+ост", "хв+ост") == "exact" and kind("ст+ол", "п+олк") is None and kind("друж+ок", "сн+ег") is None
+    assert one(spark, V.clausula(F.lit("непонятно"))) is None and one(spark, V.clausula(F.lit("мой свет непонятно"))) is None
+    c = one(spark, V.clausula(F.lit("когд+а бы, где же")))
+    assert (c["last"], c["after"], c["compound"], c["support"]) == ("же", 3, True, "д")
+    c = one(spark, V.clausula(F.lit("ещё")))
+    assert (c["key"], c["support"]) == ("о", "щ") and one(spark, V.clausula(F.lit("семь+я")))["support"] == "м"
 
 
 def test_quatrain_schemes(spark):
-    pairs = spark.createDataFrame([(0, 0, 3), (0, 1, 2)], "poem int, i int, j int")
-    lines = spark.createDataFrame([(0, i, 0) for i in range(4)], "poem int, line_no int, stanza_no int")
-    assert V.quatrain_schemes(pairs, lines, ["poem"]).first()["scheme"] == "ABBA"
+    lines = spark.createDataFrame([(p, i, 0) for p in range(4) for i in range(4)], "poem int, line_no int, stanza_no int")
+    found = [(0, 0, 3), (0, 1, 2), (1, 0, 2), (1, 1, 3), (2, 0, 1), (2, 1, 2), (2, 2, 3)]
+    pairs = spark.createDataFrame(found, "poem int, i int, j int").withColumn("type", F.lit("exact"))
+    got = {r["poem"]: (r["letters"], r["scheme"]) for r in V.quatrain_schemes(pairs, lines, ["poem"]).collect()}
+    assert got == {0: ("ABBA", "ABBA"), 1: ("ABAB", "ABAB"), 2: ("AAAA", "other"), 3: ("----", "none")}
+
+
+def test_stressed_verse_end_to_end(spark):
+    poems = (("мой д+ядя с+амых ч+естных пр+авил", "когд+а не в ш+утку занем+ог", "он уваж+ать себ+я заст+авил", "и л+учше в+ыдумать не м+ог"), ("б+уря мгл+ою н+ебо кр+оет", "в+ихри сн+ежные крут+я", "т+о как зв+ерь он+а зав+оет", "т+о запл+ачет к+ак дит+я"))
+    t = spark.createDataFrame([(p, i, 0, x) for p, poem in enumerate(poems) for i, x in enumerate(poem)], "poem int, line_no int, stanza_no int, line string")
+    assert rows(V.classify_metre(t.withColumn("profile", V.profile("line")), ["poem"])) == [(0, 4, "iamb", 4), (1, 4, "trochee", 4)]
+    ends = t.withColumn("c", V.clausula("line"))
+    pairs = V.rhyme_pairs(ends, ["poem"])
+    assert rows(V.quatrain_schemes(pairs, ends, ["poem"]).select("poem", "scheme")) == [(0, "ABAB"), (1, "ABAB")]
+    poems_ = spark.createDataFrame([(0, 1), (1, 1)], "poem int, per int")
+    tables = {(r["table"], r["key"]): r["n"] for r in V.rhyme_tables(ends, pairs, poems_, ["poem"], "per").collect()}
+    assert tables["type", "exact"] == 8 and tables["scheme", "ABAB"] == 2 and tables["ending", "0"] == 4
+
+
+def test_alliteration_against_chance(spark):
+    t = spark.createDataFrame([(0, i, line) for i, line in enumerate(["bad big bold", "cut cap cod", "dim dog den"] * 4)], "part int, line_no int, line string")
+    r = V.alliteration_against_chance(t, ["part"], ["line_no"], reps=5).first()
+    assert (r["lines"], r["observed"]) == (12, 1.0) and 0 < r["chance"] < 0.6
+    again = V.alliteration_against_chance(t, ["part"], ["line_no"], reps=5).first()
+    assert again["chance"] == r["chance"]
+    alike = spark.createDataFrame([(0, i, f"bat{chr(97 + i)} bit{chr(97 + i)} but{chr(97 + i)} of") for i in range(9)], "part int, line_no int, line string")
+    assert V.alliteration_against_chance(alike, ["part"], ["line_no"], reps=3).first()["chance"] == 1.0
 
 
 def test_shuffled_baseline_is_a_permutation(spark):
@@ -194,7 +239,7 @@ def test_adjusted_rand(spark):
 
 def test_word_vectors_and_layouts(spark):
     pairs = spark.createDataFrame([("a", "b", 5), ("b", "a", 5), ("c", "d", 5), ("d", "c", 5)], "x string, y string, n long")
-    v = Y.word_vectors(Y.ppmi(pairs), ["a", "b", "c", "d"], rank=2)
+    v = Y.word_vectors(Y.ppmi(pairs), spark.createDataFrame([(w,) for w in "abcd"], "w string"), rank=2)
     assert v.count() == 4
     assert Y.t_sne(np.random.default_rng(0).normal(size=(12, 4)), perplexity=3, iterations=20).shape == (12, 2)
     two = spark.createDataFrame([(a, b, 1.0) for g in ("abcd", "wxyz") for a in g for b in g if a < b], "src string, dst string, w double")
@@ -237,8 +282,8 @@ def test_genitives_and_line_boundaries(spark):
 
 def test_alias_parts_and_contexts(spark):
     t = spark.createDataFrame([(0, 0, "Anna"), (0, 1, "Berg"), (0, 2, "Berg"), (0, 3, "Anna")], "doc int, pos int, word string")
-    names = spark.createDataFrame([("anna",)], "word string")
-    assert [r["word"] for r in E.drop_parts(t, ["doc"], names).collect()] == ["Berg", "Berg"]
+    named = spark.createDataFrame([(0, 0, "anna", "person", ["Name"]), (0, 1, "berg", "person", ["Surn"]), (0, 5, "berg", "person", ["Surn"]), (0, 9, "anna", "person", ["Name"]), (1, 0, "ivan", "person", ["Name"]), (1, 1, "petrovich", "person", ["Patr"]), (1, 7, "ivan", "person", ["Name"])], "doc int, pos int, lemma string, kind string, grammemes array<string>")
+    assert rows(E.drop_parts(named, ["doc"]).select("doc", "pos", "lemma", "kind")) == [(0, 1, "berg", "person"), (0, 5, "berg", "person"), (0, 9, "anna", None), (1, 0, "ivan", "person"), (1, 7, "ivan", "person")]
     al = spark.createDataFrame([("Berg", "Mount")], "alias string, name string")
     assert {r["word"] for r in E.with_alias(t, al).collect()} == {"Anna", "Mount"}
     occ = spark.createDataFrame([("w", d, 0, "line " + "x" * d) for d in range(20)], "word string, doc int, line_no int, line string")
@@ -260,8 +305,8 @@ def test_web_sources(spark, tmp_path):
     assert rows(web.sitemap_urls(s)) == [(0, "https://h/a&b"), (1, "https://h/c")]
     raw = spark.createDataFrame([("привет".encode("cp1251"),), ("привет".encode(),), (None,)], "raw binary")
     assert [r["t"] for r in raw.select(web.decoded("raw").alias("t")).collect()] == ["привет", "привет", None]
-    p = spark.createDataFrame([(0, "<h1>T</h1><article><p>Body text here</p></article>"), (1, "<p>x</p>"), (2, "<h1>L</h1><p><a href='x'>all of it is links</a></p>")], "page_id int, html string")
-    assert [r["reason"] for r in web.extracted(p).orderBy("page_id").collect()] == [None, "no heading", "listing"]
+    p = spark.createDataFrame([(0, "<article><h1>T</h1><p>Body text here</p></article>"), (1, "<p>x</p>"), (2, "<article><h1>L</h1><p><a href='x'>all of it is links</a></p></article>")], "page_id int, html string")
+    assert [r["reason"] for r in web.extracted(p).orderBy("page_id").collect()] == [None, "no article with a heading", "listing"]
     m = spark.createDataFrame([('{"p1": {"3": ["red", "n", "word", "2"]}}',)], "json string")
     assert rows(web.colour_marks(m)) == [("p1", 3, "red", "n", "word", 2)]
     assert rows(web.fetched(spark.createDataFrame([("u",)], "url string"), lambda u: b"x").select("url")) == [("u",)]
@@ -378,3 +423,66 @@ def test_more_lookups(spark):
     assert rows(lookup.consonant_excess(r, 1)) == [("b", 50.0)]
     s = spark.createDataFrame([("like", "p", 2.0), ("as", "p", 1.0)], "kind string, per string, per_1000 double")
     assert rows(lookup.simile_series(s, "like", "per")) == [("p", 2.0)]
+
+
+def test_kinds_by_tags(spark):
+    def occ(lemma, votes, tags):
+        return [(lemma, v, tags) for v in votes]
+
+    data = occ("rome", ["prep"] * 5, ["Geox"]) + occ("paris", ["person"] * 3 + ["prep"], ["Geox"]) + occ("vladimir", [None, None, "person"], ["Geox", "Name"]) + occ("elba", ["prep", None], ["Geox", "Surn"]) + occ("john", [None], ["Name"]) + occ("smith", ["person"] * 2 + [None] * 8, []) + occ("styx", ["prep"] * 3, []) + occ("table", [None] * 4, []) + occ("god", ["person"] * 4, [])
+    voted = spark.createDataFrame(data, "lemma string, vote string, grammemes array<string>")
+    proper = spark.createDataFrame([("styx", 1.0), ("table", 0.1)], "lemma string, capitalised double")
+    got = {r["lemma"]: r["kind"] for r in E.kinds_by_tags(voted, proper, ["table"], {"god": "sacred"}).collect()}
+    assert got == {"rome": "place", "paris": "person", "vladimir": "person", "elba": "place", "john": "person", "smith": "person", "styx": "place", "table": None, "god": "sacred"}
+    forms = spark.createDataFrame([("rim", "Rima", False)] * 5 + [("rim", "Rimu", True)] * 3 + [("dom", "dom", False)] + [("dom", "doma", False)] * 9, "lemma string, word string, nominative boolean")
+    assert rows(E.display_forms(forms)) == [("dom", "dom"), ("rim", "Rimu")]
+    pairs = spark.createDataFrame([("a", "b", "A b")] * 2 + [("a", "b", "a b")], "x string, y string, surface string")
+    assert rows(E.pair_surfaces(pairs, ["x", "y"])) == [("a", "b", "A b", 2)]
+
+
+def test_families_and_chords(spark):
+    t = spark.createDataFrame([(a, b, 2.0) for g in ("abc", "xyz") for a in g for b in g if a < b] + [("c", "x", 1.0)], "src string, dst string, w double")
+    labels = {r["node"]: r["label"] for r in G.family_labels(t).collect()}
+    assert len({labels[n] for n in "abc"}) == len({labels[n] for n in "xyz"}) == 1 and labels["a"] != labels["x"]
+    arcs = {r["node"]: r for r in G.chord_arcs(t, spark.createDataFrame([(n, 0 if n in "abc" else 1) for n in "abcxyz"], "node string, cluster int")).collect()}
+    widths = [arcs[n]["stop"] - arcs[n]["start"] for n in "abcxyz"]
+    assert sum(widths) == pytest.approx(2 * np.pi - 0.06) and arcs["c"]["start"] == pytest.approx(-np.pi / 2) and widths[2] == pytest.approx(widths[0] * 5 / 4)
+    ribbons = G.chord_ribbons(t, G.chord_arcs(t, spark.createDataFrame([(n, 0) for n in "abcxyz"], "node string, cluster int"))).collect()
+    ends = sorted((x, r[f"{x}_start"], r[f"{x}_stop"]) for r in ribbons for x in ("src", "dst"))
+    assert len(ribbons) == 7 and sum(b - a for _, a, b in ends) == pytest.approx(2 * np.pi)
+
+
+def test_running_total_over_ranges(spark):
+    t = spark.createDataFrame([(i % 3, i, i * 7 % 11) for i in range(200)], "g int, k int, v int").repartition(5)
+    want, sums = {}, {}
+    for i in range(200):
+        want[i] = sums.get(i % 3, 0)
+        sums[i % 3] = want[i] + i * 7 % 11
+    assert {r["k"]: r["before"] for r in S.running_total(t, ["g"], ["k"], "v", "before").collect()} == want
+    alone = S.running_total(t, [], ["k"], "v", "before")
+    assert {r["k"]: r["before"] for r in alone.collect()} == {i: sum(j * 7 % 11 for j in range(i)) for i in range(200)}
+
+
+def test_articles_and_reports(spark):
+    page = "<article>no heading</article><article><h1>A &amp; B</h1><nav>menu</nav><div class='content'><p>One<br/>two</p><div>inner</div></div></article>"
+    d = spark.createDataFrame([(1, page), (2, "<p>x</p>"), (3, "<article><h1>L</h1><a href=x>all links here</a></article>"), (4, None)], "page_id long, html string")
+    got = {r["page_id"]: (r["title"], r["text"], r["reason"]) for r in web.extracted(d).collect()}
+    assert got[1] == ("A & B", "One\ntwo\n\ninner", None) and got[2][2] == got[4][2] == "no article with a heading" and got[3][2] == "listing"
+    assert web.extracted(d, content_class="content").where("page_id = 1").first()["text"] == "One\ntwo\n\ninner"
+    raw = spark.createDataFrame([(1, "<article><h1>Имя</h1><p>текст</p></article>".encode("cp1251"))], "page_id long, body binary")
+    assert web.read_pages(raw).first()["text"] == "текст"
+    docs = spark.createDataFrame([("a", "p1", "one two"), ("a", None, "x\ufffd")], "section string, period string, text string")
+    report = sinks.run_report(docs, docs.limit(0), docs.limit(1), docs.limit(0))
+    assert report == {"written_total": 2, "chars": 9, "words": 3, "replacement_chars": 1, "written_by_section": {"a": 2}, "by_period": {"p1": 1}, "skipped": 0, "duplicates": 1, "near_duplicates": 0}
+
+
+def test_nested_contents(tmp_path):
+    import zipfile
+
+    from corpusforge.sources.epub import _contents, write_epub
+
+    works = [{"section": s, "period": p, "title": t, "text": "x"} for s, p, t in (("S", "P", "a"), ("S", "P", "b"), ("S", "Q", "c"), ("T", None, "d"), (None, None, "e"))]
+    assert _contents(works) == [("S", [("P", [(None, 0), (None, 1)]), ("Q", [(None, 2)])]), ("T", [(None, 3)]), (None, 4)]
+    write_epub(str(tmp_path / "b.epub"), "T", works, "id")
+    ncx = zipfile.ZipFile(tmp_path / "b.epub").read("OEBPS/toc.ncx").decode()
+    assert ncx.count("<navPoint") == 9 and '<navPoint id="n1" playOrder="1"><navLabel><text>S</text></navLabel><content src="c0.xhtml"/><navPoint id="n2"' in ncx
