@@ -13,8 +13,9 @@ from corpusforge.session import shared_folder
 def components(edges: DataFrame) -> DataFrame:
     """node and label (its component's least node) of every node of the edges (a, b), of any ordered type.
 
-    Every node takes its neighbours' least label and then that label's own label, until nothing changes; the
-    second step doubles the reach of each round. No edges give no rows; loops and repeated edges do no harm.
+    Every node takes the least label around it and then that label's own label of the round before, until nothing
+    changes; the second step doubles the reach. One checkpoint a round. No edges give no rows; loops and repeated edges
+    do no harm.
     """
     shared_folder(edges.sparkSession)
     ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
@@ -23,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = labels.select(F.col("node").alias("other"), F.col("label").alias("l"))
         least = both.join(seen, "other").groupBy("node").agg(F.min("l").alias("l"))
-        nearer = labels.join(least, "node").select("node", F.least("label", "l").alias("label"), F.col("label").alias("was")).checkpoint()
-        jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = nearer.join(jump, "label").select("node", F.col("further").alias("label"), "was").checkpoint()
-        changed = after.where("label <> was").limit(1).count()
+        nearer = labels.join(least, "node").select("node", F.least("label", "l").alias("top"), F.col("label").alias("was"))
+        jump = labels.select(F.col("node").alias("top"), F.col("label").alias("further"))
+        after = nearer.join(jump, "top").select("node", F.least("top", "further").alias("label"), "was").checkpoint()
+        changed = not after.where("label <> was").isEmpty()
         labels = after.select("node", "label")
         if not changed:
             return labels
