@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.bit_filter import bits_of, maybe_in
+from corpusforge.llm.bit_filter import bits_of, maybe_in, with_maybe
 from corpusforge.llm.common import by_chunks, fresh, only, text_or_empty
 from corpusforge.operators.graph import components
 from corpusforge.session import shared_folder
@@ -211,22 +211,22 @@ def _sets(asked: DataFrame, places: DataFrame, docs: DataFrame, id_col: str, tex
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> DataFrame:
-    """The rows (a, b, la, lb) of ``pairs`` whose exact similarity is at least ``similarity``."""
+    """The rows (a, b) of ``pairs`` whose exact similarity is at least ``similarity``."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for ea, ca, eb, cb in zip(*[batch.column(i).to_pylist() for i in range(4, 8)], strict=True):
+            for ea, ca, eb, cb in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
                 x, y, m, n = np.frombuffer(ea, np.uint64), np.frombuffer(eb, np.uint64), np.frombuffer(ca, np.int32), np.frombuffer(cb, np.int32)
                 _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                 both, total = (np.minimum(m[i], n[j]).sum(), m.sum() + n.sum()) if weighted else (len(i), len(x) + len(y))
                 near.append(both >= similarity * (total - both))
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(near, pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     one = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("counts").alias("ca"))
     two = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("counts").alias("cb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb", "ea", "ca", "eb", "cb")
-    return joined.mapInArrow(judged, "a long, b long, la long, lb long")
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "ca", "eb", "cb")
+    return joined.mapInArrow(judged, "a long, b long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
@@ -235,6 +235,14 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str
     return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """node, label: the least node within two links (a, b) of each node; equal labels are of one component."""
+    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")), F.struct(F.col("a").alias("node"), F.col("a").alias("other")), F.struct(F.col("b").alias("node"), F.col("b").alias("other")))
+    both = links.select(F.explode(ways).alias("e")).select("e.node", "e.other")
+    least = both.groupBy("node").agg(F.min("other").alias("least"))
+    return both.join(least.select(F.col("node").alias("other"), "least"), "other").groupBy("node").agg(F.min("least").alias("label")).checkpoint()
+
+
 def _merged(labels: DataFrame, joins: DataFrame) -> DataFrame:
     """node, label: ``labels`` with the labels that ``joins`` connects made one; a label may be a node without a row."""
     merged = components(joins).select(F.col("node").alias("label"), F.col("label").alias("top"))
@@ -369,19 +377,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     margin = SURE * (similarity * (1 - similarity) / COORDINATES) ** 0.5
     agreed = _agreement(pairs).where(F.col("agree") >= similarity - margin).checkpoint()
 
-    labels = components(agreed.where(F.col("agree") >= similarity + margin).select("a", "b"))
-    # Pairs that agreement leaves open count where they would join two classes, if they are truly similar.
+    sure = agreed.where(F.col("agree") >= similarity + margin).select("a", "b")
+    # Pairs that agreement leaves open count if they are truly similar; those whose ends sure links join in two steps need no test.
+    labels = _near_labels(sure)
     apart = agreed.where(F.col("agree") < similarity + margin).select("a", "b")
     for end in ("a", "b"):
         apart = _labelled(apart, labels, end, f"l{end}")
-    apart = apart.where("la <> lb").checkpoint()
+    apart = apart.where("la <> lb").select("a", "b").checkpoint()
     sets = _sets(apart.select(F.explode(F.array("a", "b")).alias("node")).distinct(), signed, docs, id_col, text_col)
-    joins = _exact(apart, sets, similarity, weighted).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    labels = _merged(labels, joins)
+    labels = components(sure.unionByName(_exact(apart, sets, similarity, weighted)))
     # What is left of the crowded buckets: no pair of two classes stays untested.
     cells = _cells(members, labels).checkpoint()
     last = _last_joins(cells, signed, docs, similarity - margin, similarity, weighted, id_col, text_col)
-    labels = _merged(labels, last)
+    if not last.isEmpty():
+        labels = _merged(labels, last)
 
     classed = _labelled(nodes.select("node", "key", "rep", "copies"), labels).checkpoint()
     heads = classed.groupBy("label").agg(F.min("rep").alias("head"), F.sum("copies").alias("class_rows"))
@@ -394,9 +403,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, with all its columns: the first by id, then by text hash; of rows that repeat both, any
     one. Nulls, empty and very long texts and empty tables as in ``near_duplicates``; any column names will do."""
-    own_id, own_hash, own_rows = fresh(docs.columns, "class_id", "class_hash", "class_rows")
-    found = near_duplicates(docs, similarity, weighted, id_col, text_col).where("keeps").select(F.col(f"`{id_col}`").alias(own_id), F.col("text_hash").alias(own_hash), F.col("node_rows").alias(own_rows)).distinct().checkpoint()
-    (hash_,) = fresh([*docs.columns, own_id, own_hash, own_rows], "hash")
-    kept = docs.withColumn(hash_, F.xxhash64(text_or_empty(text_col))).join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(hash_) == F.col(own_hash)))
-    repeated = kept.where(F.col(own_rows) > 1).dropDuplicates([own_id, own_hash])
-    return kept.where(F.col(own_rows) == 1).unionByName(repeated).drop(own_id, own_hash, own_rows, hash_)
+    own_id, own_hash, own_rows, own_keeps = fresh(docs.columns, "class_id", "class_hash", "class_rows", "class_keeps")
+    found = near_duplicates(docs, similarity, weighted, id_col, text_col).where("not keeps or node_rows > 1")
+    touched = found.select(F.col(f"`{id_col}`").alias(own_id), F.col("text_hash").alias(own_hash), F.col("node_rows").alias(own_rows), F.col("keeps").alias(own_keeps)).distinct().checkpoint()
+    hash_, maybe = fresh([*docs.columns, *touched.columns], "hash", "maybe")
+    # Documents that surely stay, and are there once, aren't shuffled.
+    told = with_maybe(docs.withColumn(hash_, F.xxhash64(text_or_empty(text_col))), bits_of(touched, own_hash), maybe, hash_)
+    stays = told.where(~F.col(maybe)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    asked = told.where(F.col(maybe)).join(touched, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(hash_) == F.col(own_hash)), "left")
+    alone = asked.where(F.col(own_keeps).isNull())
+    repeated = asked.where(F.col(own_keeps)).dropDuplicates([own_id, own_hash])
+    return stays.unionByName(alone.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns]))
