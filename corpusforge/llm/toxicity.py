@@ -45,6 +45,8 @@ SAMPLE_ROWS = 16_000
 #: Texts of the sample that an entry or a learned exception must have been in. The sample's rows and the letters of
 #: beginnings and words bound the lexicon.
 LEAST_TEXTS = 6
+#: Least weight of an entry, a logarithm of odds, and of an exception, negative. Weaker entries are frequent words.
+LEAST_WEIGHT, LEAST_EXCEPTION = 2.0, 1.0
 PREFIX_CHARS = range(3, 13)
 WORD_CHARS = 48
 
@@ -199,10 +201,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             return Model()
         odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
         once = _one_of_copies(sample).persist()
-        scored = _counted(once, _candidates).withColumn("weight", odds).where((F.col("toxic") >= LEAST_TEXTS) & (F.col("weight") > 1.0))
+        scored = _counted(once, _candidates).withColumn("weight", odds).where((F.col("toxic") >= LEAST_TEXTS) & (F.col("weight") > LEAST_WEIGHT))
         found = {r["entry"]: (r["weight"], r["toxic"], r["clean"]) for r in scored.collect()}  # what the sample's toxic texts share
         model = Model({e: found[e][0] for e in sorted(_telling(found))}, [f" {fold(p).strip()} " for p in phrases])
-        spared = _counted(once, partial(_pairs_with_hits, model)).withColumn("weight", odds).where((F.col("clean") >= LEAST_TEXTS) & (F.col("weight") < -1.0))
+        spared = _counted(once, partial(_pairs_with_hits, model)).withColumn("weight", odds).where((F.col("clean") >= LEAST_TEXTS) & (F.col("weight") < -LEAST_EXCEPTION))
         model.exceptions += sorted(r["entry"] for r in spared.select("entry").collect())
         once.unpersist()
         features = sample.select("text", "label").mapInArrow(_feature_rows(model), "total double, rate double, label int")

@@ -44,6 +44,11 @@ def test_toxicity_learns_from_the_other_folds(spark):
     scored = toxicity.toxicity(docs, model)
     assert scored.where(f"held_out <> ({FOLD})").count() == 0
     assert auc(scored.join(labels, "doc_id"), "toxic") > 0.75
+    large = "/root/testdata/sf0.1"
+    more, marks = spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet")
+    told = toxicity.toxicity(more, toxicity.learn(more, marks)).join(marks, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p"))
+    found = {r["toxic"]: r["p"] for r in told.collect()}
+    assert found[1] > 0.9 and found[0] < 0.01
     # labels of the held-out fold don't matter
     turned = labels.withColumn("toxic", F.when(F.expr(FOLD), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.learn(docs, turned).weights == model.weights
