@@ -71,6 +71,12 @@ def shingles(text: Text, k: int = 5) -> Column:
     return F.array_distinct(one[0])
 
 
+def shingle_hashes(text: Text, k: int = 5) -> Column:
+    """Hashes of the distinct runs of ``shingles``, without writing the runs."""
+    runs = bound(lower_tokens(text, r"\p{L}+"), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
+    return F.array_distinct(runs)
+
+
 def letters(text: Text) -> Column:
     return F.regexp_count(_c(text), F.lit(r"\p{L}"))
 

@@ -20,7 +20,7 @@ def exact_dedup(docs: DataFrame, order: list[str], text_col: str = "text") -> Da
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str = "text", k: int = 5) -> DataFrame:
     """id, set (hashes of distinct shingles, rising), n, letters."""
-    hashes = F.array_sort(F.array_distinct(F.transform(X.shingles(text_col, k), lambda s: F.xxhash64(s))))
+    hashes = F.array_sort(X.shingle_hashes(text_col, k))
     return docs.select(F.col(id_col).alias("id"), hashes.alias("set"), X.letters(text_col).alias("letters")).withColumn("n", F.size("set"))
 
 
@@ -48,7 +48,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.9, id_col: str =
     """``docs`` less near copies, resolved greedily: pairs in the order of their ids; of a pair whose two documents
     still stand the one with fewer letters goes, the later one if they have as many. Each connected component of
     similar documents is resolved by itself; documents with equal sets are settled first, the same way."""
-    base = docs.withColumn("_n", X.letters(text_col)).withColumn("_s", F.xxhash64(F.array_sort(X.shingles(text_col, k))))
+    base = docs.withColumn("_n", X.letters(text_col)).withColumn("_s", F.array_sort(X.shingle_hashes(text_col, k)))
     best = Window.partitionBy("_s").orderBy(F.desc("_n"), id_col)
     single = base.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "_s")
     pairs = similar_pairs(single.select(id_col, text_col), similarity, id_col, text_col, k).select("a", "b")
@@ -70,8 +70,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.9, id_col: str =
 
 def coverage(docs: DataFrame, site: DataFrame, id_col: str, text_col: str = "text", k: int = 5) -> DataFrame:
     """id and the share of a document's shingles that any document of ``site`` has."""
-    known = site.select(F.explode(X.shingles(text_col, k)).alias("s")).select(F.xxhash64("s").alias("h")).distinct().withColumn("known", F.lit(1))
-    own = docs.select(F.col(id_col), F.explode(X.shingles(text_col, k)).alias("s")).select(id_col, F.xxhash64("s").alias("h"))
+    known = site.select(F.explode(X.shingle_hashes(text_col, k)).alias("h")).distinct().withColumn("known", F.lit(1))
+    own = docs.select(F.col(id_col), F.explode(X.shingle_hashes(text_col, k)).alias("h"))
     return own.join(known, "h", "left").groupBy(id_col).agg(F.avg(F.coalesce("known", F.lit(0))).alias("coverage"))
 
 

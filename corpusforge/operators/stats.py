@@ -208,7 +208,8 @@ def word_lengths(tokens: DataFrame, group: list[str], top: int = 15) -> DataFram
 def tf_idf(tokens: DataFrame, id_col: str, n_docs: int, k: int = 6, keep: list[str] | None = None) -> DataFrame:
     """id, word, tf, df, score = tf ln(N / df), rank: a document's k telling words,
     ties (to six decimals) by word."""
-    tf = tokens.groupBy(id_col, "word").agg(F.count("*").alias("tf"))
+    shared_folder(tokens.sparkSession)
+    tf = tokens.groupBy(id_col, "word").agg(F.count("*").alias("tf")).checkpoint()  # read twice
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     scored = tf.join(df, "word").withColumn("score", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")))
     by_score = Window.partitionBy(id_col).orderBy(F.round("score", 6).desc(), "word")
