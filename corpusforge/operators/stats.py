@@ -16,9 +16,10 @@ from corpusforge.session import shared_folder
 def top_terms(tokens: DataFrame, group: list[str], k: int = 20, word: str = "word") -> DataFrame:
     """group, word, n, per_10k (of all the group's tokens), rank: the k most frequent words, ties by word."""
     counts = tokens.groupBy(*group, word).agg(F.count("*").alias("n"))
-    part = Window.partitionBy(*group)
-    rank = F.row_number().over(part.orderBy(F.desc("n"), word))
-    return counts.withColumn("per_10k", F.col("n") * 10000.0 / F.sum("n").over(part)).withColumn("rank", rank).where(F.col("rank") <= k)
+    totals = counts.groupBy(*group).agg(F.sum("n").alias("_total"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), word))
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= k)  # each task keeps k rows of a group before the shuffle
+    return best.join(totals, group).select(*group, word, "n", (F.col("n") * 10000.0 / F.col("_total")).alias("per_10k"), "rank")
 
 
 def overview(docs: DataFrame, tokens: DataFrame, group: list[str], id_col: str = "doc_id") -> DataFrame:
@@ -252,6 +253,28 @@ def doc_cards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     return base.join(modal, id_col)
 
 
+def card_details(cards: DataFrame, id_col: str, tags: DataFrame | None = None, rhymes: DataFrame | None = None, words: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """Cards with what needs other tables: nouns_per_verb (tags: id, tag; null without verbs), rhymed_share and
+    exact_share of lines (rhymes: id, type, null for a line without one), and fields, a count for each field of the
+    lexicon that a document has (words: id, word; lexicon: word, field)."""
+    out = cards
+    if tags is not None:
+        nv = tags.groupBy(id_col).agg(F.count_if(F.col("tag") == "NOUN").alias("_n"), F.count_if(F.col("tag").isin("VERB", "INFN")).alias("_v"))
+        out = out.join(nv.select(id_col, X.per(F.col("_n"), F.col("_v"), 1).alias("nouns_per_verb")), id_col, "left")
+    if rhymes is not None:
+        shares = rhymes.groupBy(id_col).agg((100 * F.avg(F.col("type").isNotNull().cast("int"))).alias("rhymed_share"), (100 * F.avg((F.coalesce("type", F.lit("")) == "exact").cast("int"))).alias("exact_share"))
+        out = out.join(shares, id_col, "left")
+    if words is not None and lexicon is not None:
+        counts = words.join(lexicon.select("word", "field").distinct(), "word").groupBy(id_col, "field").agg(F.count("*").alias("n"))
+        out = out.join(counts.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "n")))).alias("fields")), id_col, "left")
+    return out
+
+
+def content_totals(annotated: DataFrame, group: list[str], tags: tuple[str, ...] = ("NOUN", "VERB", "INFN", "ADJF", "ADJS", "ADVB")) -> DataFrame:
+    """group, content: tokens with a content word's tag, the denominator of rates by group."""
+    return annotated.groupBy(*group).agg(F.count_if(F.col("tag").isin(*tags)).alias("content"))
+
+
 def stanza_buckets(stanza_lines: DataFrame, doc_keys: list[str], group: list[str]) -> DataFrame:
     """group, bucket ('1', '2-3', '4', '5-8', '9+'), n, share in percent."""
     size = stanza_lines.groupBy(*dict.fromkeys([*group, *doc_keys]), "stanza_no").agg(F.count("*").alias("size"))

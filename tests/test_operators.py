@@ -486,3 +486,33 @@ def test_nested_contents(tmp_path):
     write_epub(str(tmp_path / "b.epub"), "T", works, "id")
     ncx = zipfile.ZipFile(tmp_path / "b.epub").read("OEBPS/toc.ncx").decode()
     assert ncx.count("<navPoint") == 9 and '<navPoint id="n1" playOrder="1"><navLabel><text>S</text></navLabel><content src="c0.xhtml"/><navPoint id="n2"' in ncx
+
+
+def test_card_details(spark):
+    cards = spark.createDataFrame([(1, 3), (2, 1)], "doc_id int, lines int")
+    tags = spark.createDataFrame([(1, "NOUN"), (1, "NOUN"), (1, "VERB"), (2, "NOUN")], "doc_id int, tag string")
+    rhymes = spark.createDataFrame([(1, "exact"), (1, "exact"), (1, "inexact"), (1, None), (2, None)], "doc_id int, type string")
+    words = spark.createDataFrame([(1, "sea"), (1, "sea"), (1, "ice"), (2, "x")], "doc_id int, word string")
+    lexicon = spark.createDataFrame([("sea", "water"), ("ice", "cold"), ("ice", "water")], "word string, field string")
+    got = {r["doc_id"]: (r["nouns_per_verb"], r["rhymed_share"], r["exact_share"], r["fields"]) for r in S.card_details(cards, "doc_id", tags, rhymes, words, lexicon).collect()}
+    assert got == {1: (2.0, 75.0, 50.0, {"cold": 1, "water": 3}), 2: (None, 0.0, 0.0, None)}
+    assert rows(S.content_totals(tags, ["doc_id"])) == [(1, 3), (2, 1)]
+    near = spark.createDataFrame([(0, i, w) for i, w in enumerate("a b c d e f".split())], "doc int, pos int, word string")
+    assert sorted(r["word"] for r in S.words_around(near, ["c"], ["doc"], 2, spark.createDataFrame([("d",)], "word string")).collect()) == ["a", "b", "e"]
+    epithets = spark.createDataFrame([(0, 0, "white", "ADJF", "nomn", "sing", "m"), (0, 1, "snow", "NOUN", "nomn", "sing", "m"), (0, 2, "red", "ADJF", "nomn", "sing", "m"), (0, 3, "tape", "NOUN", "nomn", "sing", "m")], "doc int, pos int, lemma string, tag string, case string, number string, gender string")
+    assert rows(E.epithets(epithets, ["doc"], idioms=[("red", "tape")])) == [("white", "snow", 1)]
+    notes = spark.createDataFrame([(1, "2", "two"), (1, "1", "one")], "doc_id int, ref string, note string")
+    d = spark.createDataFrame([(1, "Title [2]", "text [1] and [2]")], "doc_id int, label string, text string")
+    assert [x["ref"] for x in D.footnotes(d, notes, label_col="label").first()["notes"]] == ["2", "1"]
+    assert [x["ref"] for x in D.footnotes(d, notes).first()["notes"]] == ["1", "2"]
+    groups = spark.createDataFrame([(["Works, vol. 1", "Poems", "1972"],)], "p array<string>")
+    assert groups.select(D.group_of(F.col("p"), "Works").alias("g")).first()["g"] == "Poems"
+    titles = spark.createDataFrame([("* * *", "\n First  line, \nsecond"), ("T", "x")], "title string, text string")
+    assert [r["t"] for r in titles.select(D.repaired_title("title", "text").alias("t")).collect()] == ['"First line..."', "T"]
+    spans = spark.createDataFrame([("a", 1, 1), ("a", 30, 2), ("b", 25, 1), ("b", 3, 2)], "doc string, lines long, stanzas long")
+    assert rows(V.longest_spans(spans, ["doc"])) == [("a", 30, 2), ("b", 25, 1)] and rows(V.span_histogram(spans)) == [(1, 1), (25, 2), (3, 1)]
+    similes = spark.createDataFrame([(1, "Как будто, как снег, словно точно"), (2, "он, как я — точно лёд")], "doc_id int, text string")
+    found = {(r["doc_id"], r["kind"]): r["n"] for r in V.simile_rates(similes, ["doc_id"]).collect()}
+    assert found[1, "как будто"] == 1 and found[1, "как"] == 1 and found[1, "точно"] == 0 and found[2, "как"] == 1 and found[2, "точно"] == 1
+    tokens = spark.createDataFrame([(0, 0, "тень", True, False, False), (0, 1, "дома", True, True, False), (0, 2, "Рима", True, True, True)], "doc int, pos int, word string, noun boolean, genitive boolean, name boolean").withColumn("g", F.lit("x"))
+    assert rows(V.genitive_rates(tokens, ["doc"], ["g"], spark.createDataFrame([("x", 3)], "g string, words long")).select("n")) == [(1,)]
