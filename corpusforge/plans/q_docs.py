@@ -124,13 +124,13 @@ def pilot_pages(spark: SparkSession, sf: str) -> DataFrame:
     return D.pilot(load(spark, sf, "pages").select("page_id", "url", X.section_of("url").alias("section")), "section", ["page_id"])
 
 
-@query("uncached_pages", "SELECT page_id, md5(url) AS cache_key FROM pages WHERE page_id % 3 <> 0 AND md5(url) NOT IN (SELECT md5(url) FROM pages WHERE page_id % 3 = 0)")
+@query("uncached_pages", "SELECT page_id, md5(url) AS cache_key FROM pages WHERE md5(url) NOT IN (SELECT md5(url) FROM pages WHERE starts_with(url, 'https://m.'))")
 def uncached_pages(spark: SparkSession, sf: str) -> DataFrame:
     from corpusforge.sources.web import uncached
 
     p = load(spark, sf, "pages")
-    cache = p.where("page_id % 3 = 0").select(F.md5("url").alias("cache_key"))
-    return uncached(p.where("page_id % 3 <> 0"), cache, "url").select("page_id", "cache_key")
+    cache = p.where("startswith(url, 'https://m.')").select(F.md5("url").alias("cache_key"))
+    return uncached(p, cache, "url").select("page_id", "cache_key")
 
 
 @query("substantial_documents", r"SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS letters FROM documents WHERE len(regexp_extract_all(text, '\p{L}')) >= 20 AND NOT regexp_matches(source, '^[0-9]+$') AND NOT (upper(source) = 'SRC3' OR starts_with(source, 'src1'))")
@@ -215,11 +215,11 @@ def claim_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(j.select("source", "ratio", D.ratio_verdict(F.col("ratio")).alias("length_verdict"), D.verdict(F.col("chars"), 2600, 2300).alias("long_texts")), "ratio")
 
 
-@query("theme_comparison", """WITH d AS (SELECT doc_id % 7 AS y, contains(text, 'thing') AS t, n_chars FROM documents WHERE lang = 'en') SELECT median(n_chars) FILTER (WHERE t) AS theme_median, round(avg(n_chars) FILTER (WHERE t), 6) AS theme_mean, median(n_chars) FILTER (WHERE NOT t) AS rest_median, round(avg(n_chars) FILTER (WHERE NOT t), 6) AS rest_mean FROM d WHERE y IN (SELECT y FROM d WHERE t)""")
+@query("theme_comparison", """WITH d AS (SELECT doc_id % 7 AS y, contains(text, 'thing') AS t, n_chars FROM documents) SELECT median(n_chars) FILTER (WHERE t) AS theme_median, round(avg(n_chars) FILTER (WHERE t), 6) AS theme_mean, median(n_chars) FILTER (WHERE NOT t) AS rest_median, round(avg(n_chars) FILTER (WHERE NOT t), 6) AS rest_mean FROM d WHERE y IN (SELECT y FROM d WHERE t)""")
 def theme_comparison(spark: SparkSession, sf: str) -> DataFrame:
     from corpusforge.operators.stats import theme_comparison as compare
 
-    d = documents(spark, sf).where("lang = 'en'").withColumn("y", F.col("doc_id") % 7)
+    d = documents(spark, sf).withColumn("y", F.col("doc_id") % 7)
     return rounded(compare(d, F.contains("text", F.lit("thing")), "y", "n_chars"), "theme_mean", "rest_mean")
 
 

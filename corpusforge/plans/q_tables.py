@@ -120,9 +120,9 @@ def punctuation_normalised(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", F.md5(X.normalised_punctuation("text", True)).alias("digest"))
 
 
-@query("folded_skeletons", f"""WITH w AS (SELECT DISTINCT list_extract(regexp_extract_all(lower(text), '\\p{{L}}+'), 1) AS word FROM documents) SELECT word, translate(word, '{X.LATIN.accents_from}', '{X.LATIN.accents_to}') AS folded, regexp_replace(word, '[{X.LATIN.vowels}]', '', 'g') AS skeleton, levenshtein(regexp_replace(translate(word, '{X.LATIN.accents_from}', '{X.LATIN.accents_to}'), '[^a-z]', '', 'g'), 'thing') AS distance FROM w WHERE word IS NOT NULL""")
+@query("folded_skeletons", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) SELECT word, translate(word, '{X.LATIN.accents_from}', '{X.LATIN.accents_to}') AS folded, regexp_replace(word, '[{X.LATIN.vowels}]', '', 'g') AS skeleton, levenshtein(regexp_replace(translate(word, '{X.LATIN.accents_from}', '{X.LATIN.accents_to}'), '[^a-z]', '', 'g'), 'thing') AS distance FROM w WHERE word IS NOT NULL""")
 def folded_skeletons(spark: SparkSession, sf: str) -> DataFrame:
-    w = load(spark, sf, "documents").select(F.try_element_at(X.lower_tokens("text", r"\p{L}+"), F.lit(1)).alias("word")).where("word is not null").distinct()
+    w = load(spark, sf, "documents").select(F.explode(X.lower_tokens("text", r"\p{L}+")).alias("word")).distinct()
     return w.select("word", X.fold_accents("word").alias("folded"), X.consonants("word").alias("skeleton"), F.levenshtein(F.regexp_replace(X.fold_accents("word"), "[^a-z]", ""), F.lit("thing")).alias("distance"))
 
 
