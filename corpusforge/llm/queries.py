@@ -13,11 +13,13 @@ from corpusforge.llm.common import table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document by the model of the labelled rows outside the held-out fold; null and empty texts get the lowest."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many go (and for a line that isn't the same), and the digest of what stays; a null text is the empty one."""
     docs = table(spark, sf_dir, "documents")
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
     kept = line_dedup.dedup_lines(docs.select("doc_id", "text", lines.alias("n_lines")))
@@ -25,22 +27,27 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored GIF and what is read back of it; a null text is the empty one."""
     return gif_media.payload_media(table(spark, sf_dir, "documents"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every text, with linked weak ones; a null text has none."""
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text; a null text has none."""
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document; texts without words are one class."""
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "keeps")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of the decoded bytes; a null text is the empty one."""
     return bpe_tree.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -50,10 +57,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; null pages and addresses leave it to the other evidence."""
     return langid.identify(table(spark, sf_dir, "pages"), langid.learn(table(spark, sf_dir, "documents")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document by the model of the labelled rows outside the held-out fold; a null text is the empty one."""
     docs = table(spark, sf_dir, "documents")
     return quality.quality(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
