@@ -1,7 +1,8 @@
 """From raw documents to training tokens: toxic documents go, repeated lines go, one document of each group of
 near copies stays, documents that hold benchmark passages go, and what is left is encoded.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. Extra columns may have any
+names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,28 +17,32 @@ from corpusforge.session import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is 0.5 or more go; the model learns from the labelled ones among ``docs``."""
+    """Documents whose toxicity score is 0.5 or more go; the model learns from the labelled ones among ``docs``. Null and
+    empty texts stay; rows that repeat stay or go together."""
     return toxicity.without_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, or are one word edit from it, go; n_chars follows. No document goes."""
+    """Lines that repeat an earlier one, or are one word edit from it, go; n_chars follows. No document goes: a null text
+    stays null, one that loses all its lines becomes empty. Rows that repeat an id and a text keep the same lines."""
     kept = line_dedup.dedup_lines(docs).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the first document stays."""
+    """Of each class of near copies the first document by id stays, one row of it if it repeats. Null and empty texts are
+    one class."""
     return dart_minhash.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which ten words in a row of a benchmark item stand go."""
+    """Documents in which ten words in a row of a benchmark item stand go. Null and empty texts stay; a clean row stays if
+    another row of its id goes."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of every row; a null text is the empty one."""
     return bpe_tree.encode_table(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
