@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.bit_filter import bits_of, maybe_in
+from corpusforge.llm.bit_filter import bits_of, maybe_in, with_maybe
 from corpusforge.llm.common import fresh, only, stored
 from corpusforge.session import shared_folder
 
@@ -156,7 +156,7 @@ def _marked(rows: DataFrame, wanted: DataFrame, size: int, near: int) -> DataFra
 
     # The texts that have a place, and their places' words.
     hashed = rows.withColumn("hash", _hash("text"))
-    held = maybe_in(hashed, bits_of(asked, "text_hash"), "hash").distinct().join(asked.withColumnRenamed("id", "a_id"), F.col("id").eqNullSafe(F.col("a_id")) & (F.col("hash") == F.col("text_hash")))
+    held = maybe_in(hashed, bits_of(asked, "text_hash"), "hash").join(asked.withColumnRenamed("id", "a_id"), F.col("id").eqNullSafe(F.col("a_id")) & (F.col("hash") == F.col("text_hash")))
 
     def agreeing(w: Column, x: Column) -> Column:
         own = F.slice(w, x["at"] + 1, x["n"])
@@ -166,7 +166,7 @@ def _marked(rows: DataFrame, wanted: DataFrame, size: int, near: int) -> DataFra
         return F.transform("asked", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["items"].alias("items"), agreeing(w, x).alias("same")))
 
     # The array of one binds the words to a name, so a text is cut once and not for each place.
-    told = held.select("id", "text_hash", F.transform(F.array(words(lowered(F.col("text")))), compared)[0].alias("told")).checkpoint()
+    told = held.select("id", "text_hash", F.transform(F.array(words(lowered(F.col("text")))), compared)[0].alias("told")).dropDuplicates(["id", "text_hash"]).checkpoint()
     hits = F.filter("told", lambda x: x["same"] == x["n"])
     nears = F.filter("told", lambda x: (x["n"] == size) & (x["same"] >= near) & (x["same"] < size))
     split = told.select("id", "text_hash", hits.alias("hits"), F.array_distinct(F.transform(nears, lambda x: x["at"])).alias("nears"))
@@ -184,5 +184,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS,
     bad_id, bad_hash, hash_ = fresh(docs.columns, "bad_id", "bad_hash", "hash")
     exact = _marked(only(docs, id_col, text_col).toDF("id", "text"), windows(items, size, item_col, item_text_col), size, size)  # proximity decides nothing here
     bad = exact.where("n_hit > 0").select(F.col("m_id").alias(bad_id), F.col("m_hash").alias(bad_hash)).distinct().checkpoint()
-    told = docs.withColumn(hash_, _hash(text_col))
-    return told.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(bad_id)) & (F.col(hash_) == F.col(bad_hash)), "left_anti").drop(hash_)
+    (maybe,) = fresh([*docs.columns, bad_id, bad_hash, hash_], "maybe")
+    # Documents that surely stay aren't shuffled.
+    told = with_maybe(docs.withColumn(hash_, _hash(text_col)), bits_of(bad, bad_hash), maybe, hash_)
+    asked = told.where(F.col(maybe)).join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(bad_id)) & (F.col(hash_) == F.col(bad_hash)), "left_anti")
+    return told.where(~F.col(maybe)).unionByName(asked).drop(hash_, maybe)
