@@ -48,7 +48,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.9, id_col: str =
     """``docs`` less near copies, resolved greedily: pairs in the order of their ids; of a pair whose two documents
     still stand the one with fewer letters goes, the later one if they have as many. Each connected component of
     similar documents is resolved by itself; documents with equal sets are settled first, the same way."""
-    base = docs.withColumn("_n", X.letters(text_col)).withColumn("_s", F.array_sort(X.shingle_hashes(text_col, k)))
+    base = docs.withColumn("_n", X.letters(text_col)).withColumn("_s", F.xxhash64(F.array_sort(X.shingle_hashes(text_col, k))))
     best = Window.partitionBy("_s").orderBy(F.desc("_n"), id_col)
     single = base.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "_s")
     pairs = similar_pairs(single.select(id_col, text_col), similarity, id_col, text_col, k).select("a", "b")
