@@ -12,6 +12,7 @@ from corpusforge.operators import tokens as T
 from corpusforge.plans import lookup
 from corpusforge.plans.catalog import query
 from corpusforge.plans.q_text import KEYS, TOK, documents, rounded, tok
+from corpusforge.session import shared_folder
 
 CASED = r"""c0 AS (SELECT doc_id, lang, regexp_extract_all(text, '\p{L}+(?:-\p{L}+)*') AS w FROM documents), cased AS (SELECT doc_id, lang, unnest(w) AS word, unnest(range(len(w))) AS pos FROM c0)"""
 
@@ -113,9 +114,10 @@ def label_families(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("chord_network")
 def chord_network(spark: SparkSession, sf: str) -> DataFrame:
-    shown = G.hub_map(edges(spark, sf))
+    shared_folder(spark)
+    shown = G.hub_map(edges(spark, sf)).checkpoint()  # a network as shown, read by labels, arcs and ribbons
     labels = G.family_labels(shown)
-    arcs = G.chord_arcs(shown, labels.select("node", F.col("label").alias("cluster")))
+    arcs = G.chord_arcs(shown, labels.select("node", F.col("label").alias("cluster"))).checkpoint()
     return rounded(G.chord_ribbons(shown, arcs), "src_start", "src_stop", "dst_start", "dst_stop")
 
 
