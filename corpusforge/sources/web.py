@@ -50,12 +50,13 @@ def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", article: str = "article", heading: str = "h1", content_class: str | None = None, dropped: tuple[str, ...] = ("nav", "meta"), listing: float = 0.6) -> DataFrame:
+def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", article: str = "article", heading: str = "h1", content_class: str | None = None, dropped: tuple[str, ...] = ("nav", "meta"), listing: float = 0.6, bare: bool = True) -> DataFrame:
     """id, title, text, pagination, reason (why a page is to be skipped; null if it isn't) of every page.
 
     A page's text is that of the first ``article`` element with its own ``heading``: of its block with the class
     ``content_class`` (up to the article's last closing div) if one is named, else of what stands around the heading;
-    elements ``dropped`` go. A page whose links hold more than ``listing`` of the text is a listing.
+    elements ``dropped`` go. A page whose links hold more than ``listing`` of the text is a listing. Without ``bare``,
+    character references need their semicolon.
     """
     element = rf"(?is)<{article}\b[^>]*>.*?</{article}\s*>"
     titled = rf"(?is)<{heading}\b[^>]*>.*?</{heading}\s*>"
@@ -64,8 +65,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     block = F.regexp_extract("_article", rf"(?is)<div\b[^>]*\bclass\s*=\s*[\"']?[^\"'>]*\b{content_class}\b[^>]*>(.*)</div\s*>", 1) if content_class else F.regexp_replace("_article", titled, "")
     gone = "|".join(dropped)
     kept = F.regexp_replace(F.regexp_replace(block, rf"(?is)<({gone})\b.*?</\1\s*>", ""), rf"(?is)<({gone})\b[^>]*>", "")
-    cut = one.select(id_col, X.tag_text("_article", heading).alias("title"), kept.alias("_content"), F.col("_article").rlike(r"(?i)rel=\"?next|class=\"?pagination").alias("pagination"))
-    out = cut.select(id_col, "title", X.html_to_text("_content").alias("text"), "pagination", X.link_share("_content").alias("_share"))
+    cut = one.select(id_col, X.tag_text("_article", heading, bare).alias("title"), kept.alias("_content"), F.col("_article").rlike(r"(?i)rel=\"?next|class=\"?pagination").alias("pagination"))
+    out = cut.select(id_col, "title", X.html_to_text("_content", bare).alias("text"), "pagination", X.link_share("_content").alias("_share"))
     reason = F.when(F.col("title") == "", "no article with a heading").when(F.col("_share") > listing, "listing").when(F.col("text") == "", "no text")
     return out.withColumn("reason", reason).drop("_share")
 
