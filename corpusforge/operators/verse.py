@@ -6,14 +6,20 @@ several syllables S (stressed), u (not) or x (a word without a mark), of words o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import zlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.config import LATIN, RUSSIAN_VOWELS, LanguageProfile
 from corpusforge.functions import text as X
+from corpusforge.session import shared_folder
 
 #: Metres: (length of the foot, place of its strong syllable from 0) (fixed values).
 METRES = {"iamb": (2, 1), "trochee": (2, 0), "dactyl": (3, 0), "amphibrach": (3, 1), "anapaest": (3, 2)}
@@ -268,11 +274,125 @@ def alliteration_against_chance(lines: DataFrame, part: list[str], keys: list[st
         return X.bound(firsts, lambda f: F.coalesce(F.array_max(F.transform(F.array_distinct(f), lambda c: F.size(F.filter(f, lambda x: x == c)))), F.lit(0)))
 
     seen = words.groupBy(*part).agg(F.count("*").alias("lines"), F.avg((scored(F.col("words")) >= hit).cast("int")).alias("observed"))
-    flat = words.select(*part, *keys, F.posexplode("words").alias("pos", "word"))
-    places = numbered(flat, part, F.xxhash64(*keys, "pos")).select(*part, "slot", *keys)  # any fixed order gives a line its slots
-    dealt = shuffled_baseline(flat, part, reps, seed).join(places, [*part, "slot"]).groupBy(*part, "rep", *keys).agg(F.collect_list("word").alias("words"))
-    hits = dealt.groupBy(*part).agg(F.count_if(scored(F.col("words")) >= hit).alias("hits"))
-    return seen.join(hits, part, "left").select(*part, "lines", "observed", (F.coalesce("hits", F.lit(0)) / (F.col("lines") * reps)).alias("chance")).withColumn("ratio", F.try_divide("observed", "chance"))
+    hits = dealt_hits(words, part, keys, f"[{profile_.vowels}]", hit, reps, seed, scored)
+    same = reduce(Column.__and__, [seen[c].eqNullSafe(hits[f"_{c}"]) for c in part])
+    return seen.join(hits, same, "left").select(*part, "lines", "observed", (F.coalesce("hits", F.lit(0)) / (F.col("lines") * reps)).alias("chance")).withColumn("ratio", F.try_divide("observed", "chance"))
+
+
+#: Words of a range of a part's random order, about; parts up to which a table of them is broadcast.
+RANGE_WORDS, BROADCAST_PARTS = 1 << 19, 10_000
+
+
+def dealt_hits(words: DataFrame, part: list[str], keys: list[str], vowel: str, hit: int, reps: int, seed: int, scored: Callable[[Column], Column]) -> DataFrame:
+    """The part's columns, each after a low line, and hits: how many lines of ``reps`` random deals of a part's words have ``hit`` different words on one
+    consonant.
+
+    A hash cuts a part's words into ranges of about RANGE_WORDS, once; each deal orders every range anew, so each is an
+    order in which all orders are alike likely, and the lines' slots follow one another through the ranges. A range is
+    sent as its different words and their numbers. Lines that two ranges share are put together from their pieces."""
+    shared_folder(words.sparkSession)
+    sized = words.select(*part, F.size("words").alias("size")).where("size > 0").groupBy(*part, "size").agg(F.count("*").alias("n"))
+    lengths = sized.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("lengths"), F.sum(F.col("size") * F.col("n")).alias("tokens"))
+    named = [F.col(c).alias(f"_{c}") for c in part]
+    parts = lengths.select(*named, "lengths", F.ceil(F.col("tokens") / RANGE_WORDS).cast("long").alias("ranges"), F.xxhash64(F.lit(seed), *part).alias("seed"), F.monotonically_increasing_id().alias("part")).checkpoint()
+    small = F.broadcast if parts.count() <= BROADCAST_PARTS else (lambda table: table)
+    same = reduce(Column.__and__, [F.col(f"_line.{c}").eqNullSafe(F.col(f"_{c}")) for c in part])
+    lines = words.where(F.size("words") > 0).select(F.struct(*part).alias("_line"), F.xxhash64(F.lit(seed), *keys).alias("h"), "words")
+    cut = lines.join(small(parts.select("part", "ranges", *[f"_{c}" for c in part])), same).select("part", "ranges", "h", "words")
+
+    def ranges(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        size = pc.list_value_length(whole["words"]).to_numpy().astype(np.int64)
+        pos = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)
+        z = np.repeat(whole["h"].to_numpy().astype(np.uint64), size) + (pos + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        which = ((z ^ (z >> np.uint64(31))) % np.repeat(whole["ranges"].to_numpy().astype(np.uint64), size)).astype(np.int64)
+        encoded = pc.list_flatten(whole["words"]).combine_chunks().dictionary_encode()
+        encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
+        codes = encoded.indices.to_numpy().astype(np.int64)
+        group = np.stack([np.repeat(whole["part"].to_numpy(), size), which])
+        order = np.lexsort((codes, group[1], group[0]))
+        rows = np.stack([group[0][order], group[1][order], codes[order]])
+        first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)]))
+        n = np.diff(first, append=rows.shape[1])
+        rows = rows[:, first]
+        begins = np.flatnonzero(np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]))
+        out = []
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), rows.shape[1]], strict=True):
+            text = "\n".join(encoded.dictionary.take(pa.array(rows[2, a:b])).to_pylist()) + "\t" + " ".join(map(str, n[a:b].tolist()))
+            out.append((int(rows[0, a]), int(rows[1, a]), int(n[a:b].sum()), zlib.compress(text.encode())))
+        part_, which_, tokens, block = zip(*out, strict=True)
+        yield pa.record_batch([pa.array(part_, pa.int64()), pa.array(which_, pa.int64()), pa.array(tokens, pa.int64()), pa.array(block, pa.binary())], ["part", "which", "tokens", "block"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                tokens += len(batch.column("words").flatten())
+            if tokens >= RANGE_WORDS:
+                yield from ranges(held)
+                held, tokens = [], 0
+        if held:
+            yield from ranges(held)
+
+    blocks = cut.mapInArrow(packed, "part long, which long, tokens long, block binary").checkpoint()
+    sizes = blocks.groupBy("part", "which").agg(F.sum("tokens").alias("tokens"))
+    before = Window.partitionBy("part").orderBy("which").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    begins = sizes.withColumn("begin", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    placed = begins.join(small(parts.select("part", "lengths", "seed")), "part").select(F.col("part").alias("of"), F.col("which").alias("range"), "begin", "lengths", "seed")
+
+    def dealt(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        counts: dict[str, int] = {}
+        for block in left["block"].to_pylist():
+            names, numbers = zlib.decompress(block).decode().split("\t")
+            for w, n in zip(names.split("\n"), map(int, numbers.split(" ")), strict=True):
+                counts[w] = counts.get(w, 0) + n
+        names = sorted(counts)
+        at: dict[str, int] = {}
+        silent = re.compile(vowel)
+        letter = np.array([-1 if silent.match(w) else at.setdefault(w[0], len(at)) for w in names])
+        urn = np.repeat(np.arange(len(names)), [counts[w] for w in names])
+        here = right.to_pylist()[0]
+        begin, end = here["begin"], here["begin"] + len(urn)
+        starts, sizes_, numbers_, slot, number = [], [], [], 0, 0
+        for x in here["lengths"]:
+            size, n = x["size"], x["n"]
+            a, b = max(0, (begin - slot) // size), min(n, -(-(end - slot) // size))
+            if a < b and size >= hit:
+                k = np.arange(a, b)
+                starts.append(slot + k * size - begin)
+                sizes_.append(np.full(b - a, size))
+                numbers_.append(number + k)
+            slot, number = slot + size * n, number + n
+        out: dict[str, list] = {"part": [here["of"]], "hits": [0], "rep": [None], "line": [None], "words": [None]}
+        if starts:
+            start, size, which = np.concatenate(starts), np.concatenate(sizes_), np.concatenate(numbers_)
+            inside = (start >= 0) & (start + size <= len(urn))
+            full, lens = start[inside], size[inside]
+            line = np.repeat(np.arange(len(full)), lens)
+            slots = np.arange(lens.sum()) - np.repeat(lens.cumsum() - lens, lens) + np.repeat(full, lens)
+            for rep in range(reps):
+                order = np.random.default_rng([seed, here["seed"] & 0xFFFFFFFFFFFFFFFF, here["range"], rep]).permutation(urn)
+                code = order[slots]
+                told = letter[code] >= 0
+                seen_ = np.unique(line[told] * len(names) + code[told])  # different words of each line
+                on = seen_ // len(names) * (len(at) + 1) + letter[seen_ % len(names)]
+                on.sort()
+                run = np.flatnonzero(np.diff(on, prepend=-1))
+                many = on[run][np.diff(run, append=len(on)) >= hit]
+                out["hits"][0] += len(np.unique(many // (len(at) + 1)))
+                for s, n, w in zip(start[~inside].tolist(), size[~inside].tolist(), which[~inside].tolist(), strict=True):
+                    piece = order[max(0, s) : min(len(urn), s + n)]
+                    for name, value in (("part", here["of"]), ("hits", 0), ("rep", rep), ("line", w), ("words", [names[c] for c in piece if letter[c] >= 0])):
+                        out[name].append(value)
+        return pa.table({"part": pa.array(out["part"], pa.int64()), "hits": pa.array(out["hits"], pa.int64()), "rep": pa.array(out["rep"], pa.int32()), "line": pa.array(out["line"], pa.int64()), "words": pa.array(out["words"], pa.list_(pa.string()))})
+
+    found = blocks.groupBy("part", "which").cogroup(placed.groupBy("of", "range")).applyInArrow(dealt, "part long, hits long, rep int, line long, words array<string>")
+    joined = found.groupBy("part", "rep", "line").agg(F.sum("hits").alias("hits"), F.flatten(F.collect_list("words")).alias("words"))
+    total = joined.groupBy("part").agg((F.sum("hits") + F.count_if(F.col("line").isNotNull() & (scored(F.col("words")) >= hit))).alias("hits"))
+    return total.join(small(parts.select("part", *[f"_{c}" for c in part])), "part").drop("part")
 
 
 def consonant_ratio(a: DataFrame, b: DataFrame, text_col: str = "line", profile_: LanguageProfile = LATIN) -> DataFrame:
